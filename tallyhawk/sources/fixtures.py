@@ -70,3 +70,32 @@ def invoice_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CostCenter", "VendorState", "InvoiceType", "PaymentStatus", "BankChangeFlag",
             "VendorAgeDays", "IsFraudLabel"]
     return out.select(F.col("_ord").cast("string").alias("InvoiceID"), *cols)
+
+
+def raw_invoice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoice view as an upload would look: alias headers, every value as
+    text, mixed date formats, and some unusable rows (null vendor, 'NA' invoice
+    number, '1.5f'-style and '1,234'-style amounts, an unparseable date).
+
+    ``_src_row`` is the source order (rows of a file)."""
+    inv = invoice_view(spark, sf_dir)
+    row = F.col("InvoiceID").cast("long")
+    amt_txt = F.format_string("%.2f", F.col("Amount"))
+    return inv.select(
+        row.alias("_src_row"),
+        F.lit("0").alias("Amount_net"),
+        F.when(row % 101 == 3, F.lit(None).cast("string")).otherwise(F.col("Vendor")).alias(" Supplier "),
+        F.when(row % 103 == 5, F.lit("NA")).otherwise(F.col("InvoiceNumber")).alias("Invoice No"),
+        F.when(row % 89 == 1, F.lit("not a date"))
+         .when(row % 7 == 0, F.date_format("InvoiceDate", "M/d/yyyy"))
+         .otherwise(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")).alias("Invoice_Date"),
+        F.when(row % 97 == 2, F.concat(amt_txt, F.lit("f")))
+         .when(row % 109 == 4, F.format_number(F.col("Amount"), 2))
+         .otherwise(amt_txt).alias("Gross Amount"),
+        F.col("Currency").alias("Curr"),
+        F.col("PONumber").alias("PO"),
+        F.lower("Vendor").alias("supplier name"),
+        "CostCenter", "VendorState", "InvoiceType", "PaymentStatus", "BankChangeFlag",
+        F.col("VendorAgeDays").cast("string").alias("VendorAgeDays"),
+        F.col("IsFraudLabel").cast("string").alias("IsFraudLabel"),
+    )
