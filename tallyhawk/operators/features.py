@@ -41,7 +41,7 @@ def anomaly_features(df: DataFrame) -> DataFrame:
     })
 
 
-def feature_vector(df: DataFrame) -> F.Column:
+def feature_vector(df: DataFrame | None = None) -> F.Column:
     return F.array(F.col("Amount_f").cast("double"), F.col("VendorAvgAmount").cast("double"),
                    F.col("VendorStdAmount").cast("double"), F.col("VendorTxnCount").cast("double"),
                    F.col("InvoiceDayOfWeek").cast("double"))

@@ -7,10 +7,10 @@ partition and local position, count rows per partition (one small row per
 partition), prefix-sum those counts and broadcast them back. No task ever
 holds more than its range.
 
-The tagged table is frozen with a reliable ``checkpoint()`` (to the shared
-``spark.checkpoint.dir``) before it is read twice: range bounds come from a
+The tagged table is frozen as a written table under the shared
+``spark.checkpoint.dir`` before it is read twice: range bounds come from a
 sample of the input, and two independently planned copies of the input could
-sample different bounds. The checkpoint also cuts the lineage, so a lost
+sample different bounds. Writing it also cuts the lineage, so a lost
 executor re-reads the written table instead of recomputing the positions.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhawk.session import checkpoint_dir
+from tallyhawk.session import materialize
 
 _LOCAL_MASK = (1 << 33) - 1
 
@@ -33,8 +33,7 @@ def with_ordinal(df: DataFrame, order_cols: list, name: str = "ordinal",
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_part", F.spark_partition_id())
                 .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))))
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "ordinal")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # at most `n` rows: one per partition, so a global window here is bounded
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

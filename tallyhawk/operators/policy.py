@@ -71,40 +71,55 @@ def _dsum(cond) -> F.Column:
     return F.coalesce(F.sum(F.when(cond, money("Amount"))), F.lit(0))
 
 
+MONEY_UNITS = 10000  # amounts carry at most four decimals
+
+
+def _units_sum(cond) -> F.Column:
+    """Exact sum in 1/10000 units as a long: no decimal objects in the hot loop.
+    Converting the long to double and dividing by 10000 rounds once, exactly as
+    casting the decimal sum to double does."""
+    return F.coalesce(F.sum(F.when(cond, F.col("_units"))), F.lit(0).cast("long"))
+
+
 def what_if(scored: DataFrame, scenarios: DataFrame) -> DataFrame:
     """G1 + G2 for a table of scenarios (scenario_id, min_amount_dual_approval,
     block_new_vendor_days, block_no_po_min_amount); 0 or null switches a rule off."""
     sc = scenarios.select(
         F.col("scenario_id").cast("string").alias("scenario_id"),
+        F.monotonically_increasing_id().alias("_sk"),
         F.coalesce(F.col("min_amount_dual_approval").cast("double"), F.lit(0.0)).alias("_a"),
         F.coalesce(F.col("block_new_vendor_days").cast("int"), F.lit(0)).alias("_d"),
         F.coalesce(F.col("block_no_po_min_amount").cast("double"), F.lit(0.0)).alias("_p"))
+    if sc.count() > MAX_SCENARIOS:  # the scenario side is broadcast: its size is checked
+        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
     base = scored.select(_amount(scored).alias("Amount"), _vendor_age(scored).alias("_age"),
-                         _po_missing(scored).alias("_nopo"), is_risky().alias("_risky"))
-    x = base.crossJoin(F.broadcast(sc))
+                         _po_missing(scored).alias("_nopo"), is_risky().alias("_risky"),
+                         F.round(_amount(scored) * MONEY_UNITS).cast("long").alias("_units"))
+    x = base.crossJoin(F.broadcast(sc.drop("scenario_id")))
     dual = (F.col("_a") > 0) & (F.col("Amount") >= F.col("_a"))
     newv = (F.col("_d") > 0) & (F.col("_age") <= F.col("_d"))
     nopo = (F.col("_p") > 0) & (F.col("Amount") >= F.col("_p")) & F.col("_nopo")
     anyc = dual | newv | nopo
     risky = F.col("_risky")
-    agg = x.groupBy("scenario_id").agg(
+    agg = x.groupBy("_sk").agg(
         F.count(F.when(risky, 1)).alias("base_risky_invoices"),
-        _dsum(risky).alias("_base_amt"),
+        _units_sum(risky).alias("_base_amt"),
         F.count(F.when(risky & anyc, 1)).alias("blocked_risky_invoices"),
-        _dsum(risky & anyc).alias("_blk_amt"),
+        _units_sum(risky & anyc).alias("_blk_amt"),
         F.count(F.when(dual, 1)).alias("dual_approval_hits"),
         F.count(F.when(newv, 1)).alias("new_vendor_hits"),
         F.count(F.when(nopo, 1)).alias("no_po_hits"),
         F.count(F.when(anyc, 1)).alias("total_policy_hits"))
     # scenarios that meet no invoice rows still get a row
-    agg = sc.select("scenario_id").join(agg, "scenario_id", "left").na.fill(0)
+    agg = F.broadcast(sc.select("scenario_id", "_sk")).join(agg, "_sk", "left").na.fill(0)
+    units = float(MONEY_UNITS)
     return agg.select(
         "scenario_id", "base_risky_invoices",
-        F.col("_base_amt").cast("double").alias("base_risky_amount"),
+        (F.col("_base_amt").cast("double") / units).alias("base_risky_amount"),
         "blocked_risky_invoices",
-        F.col("_blk_amt").cast("double").alias("blocked_risk_amount"),
+        (F.col("_blk_amt").cast("double") / units).alias("blocked_risk_amount"),
         (F.col("base_risky_invoices") - F.col("blocked_risky_invoices")).alias("new_risky_invoices"),
-        (F.col("_base_amt") - F.col("_blk_amt")).cast("double").alias("new_risk_amount"),
+        ((F.col("_base_amt") - F.col("_blk_amt")).cast("double") / units).alias("new_risk_amount"),
         "dual_approval_hits", "new_vendor_hits", "no_po_hits", "total_policy_hits",
         F.when(F.col("base_risky_invoices") > 0,
                F.col("blocked_risky_invoices").cast("double") / F.col("base_risky_invoices") * F.lit(100.0)

@@ -54,3 +54,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def materialize(df, tag: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (a lost executor re-reads the files
+    instead of recomputing), is columnar (later scans prune columns and push
+    filters), and is computed once. Used wherever a derived table is read by
+    several branches of one plan or must stay fixed between two passes."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
