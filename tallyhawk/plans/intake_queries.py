@@ -88,13 +88,9 @@ ROW_SENTENCE_SQL = RAW_SQL + """
 SELECT src_row,
   'Invoice ' || coalesce(InvoiceNumber, 'nan') || ' from ' || coalesce(Vendor, 'nan') || ' dated '
   || coalesce(InvoiceDate, 'nan') || ' amount '
-  || CASE WHEN regexp_full_match(Amount, '{num}') AND TRY_CAST(trim(Amount) AS DOUBLE) IS NOT NULL
-          THEN CASE WHEN contains(rtrim(rtrim(CAST(round(CAST(trim(Amount) AS DECIMAL(38,10)), 10) AS VARCHAR), '0'), '.'), '.')
-                    THEN rtrim(rtrim(CAST(round(CAST(trim(Amount) AS DECIMAL(38,10)), 10) AS VARCHAR), '0'), '.')
-                    ELSE rtrim(rtrim(CAST(round(CAST(trim(Amount) AS DECIMAL(38,10)), 10) AS VARCHAR), '0'), '.') || '.0' END
-          ELSE coalesce(Amount, 'nan') END
+  || coalesce(Amount, 'nan')
   || ' ' || coalesce(Currency, 'nan') || ' has status ' || coalesce(PaymentStatus, 'nan') || '.' AS sentence
-FROM raw""".replace("{num}", intake.NUMBER_PATTERN.replace("^", "").replace("$", ""))
+FROM raw"""
 
 
 @register("row_sentences", ROW_SENTENCE_SQL)
