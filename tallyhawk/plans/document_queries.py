@@ -10,11 +10,11 @@ from tallyhawk.operators import textmine as T
 from tallyhawk.operators import vectors as V
 from tallyhawk.plans.oracle_sql import on_scored
 from tallyhawk.plans.registry import register
-from tallyhawk.sources.fixtures import table
+from tallyhawk.sources.fixtures import spread, table
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 def _blocks(spark, sf):

@@ -26,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a CPU-heavy input (document text) when the scan yields
+    fewer partitions than the cluster has cores, e.g. one large Parquet row
+    group. A many-file input at scale already has enough splits and is left as is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df
+
+
 _SAVED: dict = {}
 
 

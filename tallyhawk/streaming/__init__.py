@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference handles one upload at a time and has no stream, watermark,
+window or state operator, so nothing is built here (only what the reference
+does is built). Arriving invoice files are covered by the batch intake
+(``sources.intake.load_invoices`` over a folder).
+"""
