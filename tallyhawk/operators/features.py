@@ -60,16 +60,34 @@ def behaviour_features(df: DataFrame) -> DataFrame:
     })
 
 
-def days_since_last(df: DataFrame) -> DataFrame:
+def days_since_last(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Whole days since the vendor's previous invoice in date order
-    (nulls last, ties by InvoiceID); first row or null date → 999.
-
-    A lag needs the vendor's rows in order, so the window is keyed by Vendor:
-    a vendor with a third of all rows is one sorted, spillable task. Only the
-    previous date is carried, no group is collected."""
-    w = Window.partitionBy("Vendor").orderBy(F.col("InvoiceDate").asc_nulls_last(), num_key("InvoiceID"))
-    prev = F.lag("InvoiceDate").over(w)
-    secs = F.unix_timestamp(F.col("InvoiceDate").cast("timestamp")) - \
-        F.unix_timestamp(prev.cast("timestamp"))
-    return df.withColumn("DaysSinceLastInvoice",
-                         F.coalesce(F.floor(secs / 86400), F.lit(NO_PREVIOUS_DAYS)).cast("long"))
+    (nulls last, ties by InvoiceID); first row, a missing date or a missing
+    vendor → 999.
+
+    Skew-safe lag: rows are range-partitioned on (Vendor, date, id), so a vendor
+    with a third of all rows spans many ranges. Inside a range the previous
+    row comes from a window keyed by (range, Vendor); the first row of a vendor
+    in a range takes the vendor's last date from the nearest earlier range (a
+    table of at most ranges × vendors rows). The ranged table is written once
+    so both passes see the same ranges."""
+    from tallyhawk.functions.joins import join_null_safe
+    from tallyhawk.session import materialize
+    spark = df.sparkSession
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["Vendor", "_dnull", "InvoiceDate", "_idn"]
+    t = df.withColumn("_dnull", F.col("InvoiceDate").isNull()).withColumn("_idn", num_key("InvoiceID"))
+    ranged = materialize(t.repartitionByRange(p, *order).withColumn("_part", F.spark_partition_id()),
+                         "days-since-last")
+    w = Window.partitionBy("_part", "Vendor").orderBy("_dnull", "InvoiceDate", "_idn")
+    local = ranged.withColumn("_prev", F.lag("InvoiceDate").over(w)).withColumn("_rn", F.row_number().over(w))
+    last = ranged.groupBy("_part", "Vendor").agg(
+        F.max_by("InvoiceDate", F.struct("_dnull", "InvoiceDate", "_idn")).alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy("Vendor").orderBy("_part"))) \
+                .select("_part", "Vendor", "_carry")
+    out = join_null_safe(local, carry, ["_part", "Vendor"], "left")
+    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    secs = F.unix_timestamp(F.col("InvoiceDate").cast("timestamp")) - F.unix_timestamp(prev.cast("timestamp"))
+    days = F.when(F.col("Vendor").isNotNull(), F.floor(secs / 86400))
+    return (out.withColumn("DaysSinceLastInvoice", F.coalesce(days, F.lit(NO_PREVIOUS_DAYS)).cast("long"))
+               .drop("_dnull", "_idn", "_part", "_prev", "_rn", "_carry"))

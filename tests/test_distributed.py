@@ -104,3 +104,22 @@ def test_forest_flags_two_percent_and_outliers(spark):
     again = run_isolation_forest(df.repartition(7), trees=50).toPandas()
     assert (out.sort_values("InvoiceID").ML_IsAnomaly.to_numpy()
             == again.sort_values("InvoiceID").ML_IsAnomaly.to_numpy()).all()
+
+
+def test_days_since_last_hot_vendor(spark):
+    from tallyhawk.operators.features import days_since_last
+    rng = np.random.default_rng(5)
+    n = 3000
+    vendor = np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b", "c"], n))
+    dates = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 400, n), unit="D") \
+        + pd.to_timedelta(rng.integers(0, 86400, n), unit="s")
+    dates = pd.Series(dates).where(rng.random(n) > 0.05)
+    pdf = pd.DataFrame({"InvoiceID": [str(i) for i in range(n)], "Vendor": vendor, "InvoiceDate": dates})
+    df = spark.createDataFrame(pdf).withColumn("InvoiceDate", F.col("InvoiceDate").cast("timestamp_ntz"))
+    got = days_since_last(df, partitions=8).toPandas().set_index("InvoiceID").DaysSinceLastInvoice
+    pdf["idn"] = pdf.InvoiceID.astype(int)
+    s = pdf.sort_values(["Vendor", "InvoiceDate", "idn"], na_position="last")
+    prev = s.groupby("Vendor").InvoiceDate.shift()
+    exp = ((s.InvoiceDate - prev).dt.total_seconds() // 86400).fillna(999).astype(int)
+    exp.index = s.InvoiceID
+    assert (got.loc[exp.index].to_numpy() == exp.to_numpy()).all()
