@@ -185,7 +185,8 @@ def q_doc_answer(spark, sf):
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
     chunks = _chunks(spark, sf).withColumn("chunk_key", F.monotonically_increasing_id())
-    chunks = chunks.checkpoint(eager=True)  # keys must stay fixed across the two scans
+    from tallyhawk.session import materialize
+    chunks = materialize(chunks, "chunks")  # keys must stay fixed across the two scans
     pipe = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"\W+"),
                             HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=V.EMBED_DIM),
                             IDF(inputCol="_tf", outputCol="_idf"),
@@ -463,7 +464,8 @@ def q_explain_invoices(spark, sf):
     s = scored_table(spark, sf)
     s = s.withColumn("text", V.invoice_text(s))
     emb = V.embed_text(s).select(F.col("InvoiceID").cast("long").alias("vec_id"), "embedding", "Vendor")
-    emb = emb.checkpoint(eager=True)
+    from tallyhawk.session import materialize
+    emb = materialize(emb, "invoice-embeddings")
     req = top_risky_invoices(s).select(F.col("InvoiceID").alias("invoice_id"), F.lit(None).cast("string").alias("question"))
     q = (req.join(emb, F.col("invoice_id").cast("long") == F.col("vec_id"))
             .select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "Vendor"))
