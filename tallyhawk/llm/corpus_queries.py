@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import chat, exact_dedup, mixing
+from tallyhawk.llm import chat, exact_dedup, mixing, packing
 from tallyhawk.llm.common import read
 from tallyhawk.llm.registry import register
 
@@ -74,3 +74,10 @@ def op8_chat_format(spark, sf_dir):
         F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op9_pack_windows")
+def op9_pack_windows(spark, sf_dir):
+    import public_tokenizers
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return packing.pack(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json")).drop("source")
