@@ -118,7 +118,7 @@ def round_robin(held: np.ndarray, deficit: np.ndarray, first_room: int, window:
 def _pack_lane(docs: pd.DataFrame, plan: pd.DataFrame, window: int) -> pd.DataFrame:
     cols = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if docs.empty:
-        return pd.DataFrame({c: [] for c in cols})
+        return pd.DataFrame(columns=cols, dtype=object)
     name = lambda s: s.map(lambda v: (1, "") if v is None or v != v else (0, v))
     plan = plan.assign(k=name(plan["source"])).sort_values("k").reset_index(drop=True)
     docs = docs.assign(k=name(docs["source"])).sort_values(["k", "doc_id", "nth", "n"], kind="stable")
