@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import embedding_dedup, near_dedup, substring_dedup, toxicity
+from tallyhawk.llm import embedding_dedup, html_text, near_dedup, quality, substring_dedup, toxicity
 from tallyhawk.llm.common import read
 from tallyhawk.llm.registry import register
 
@@ -80,3 +80,16 @@ def op2_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.toxicity(docs, labels)
+
+
+@register("op3_main_text")
+def op3_main_text(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register("op6_quality_perplexity")
+def op6_quality_perplexity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.quality(docs, trusted)

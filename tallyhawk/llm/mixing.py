@@ -66,6 +66,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
                         n_words(docs[text_col]).alias("size"), key.alias("key"),
                         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
+    if not carry:   # narrow rows: count the words of a text once
+        sized = materialize(sized, "mix-sizes")
     totals = (sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
               .withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     if weights is None:
