@@ -87,18 +87,18 @@ def materialize(df, tag: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark(spark: SparkSession) -> int:
-    """How many written tables this application holds; see ``release_scratch``."""
-    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Paths of the written tables this application holds, oldest first."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
 
 
-def release_scratch(spark: SparkSession, since: int = 0) -> int:
-    """Delete the written tables made after mark ``since`` and return how many.
+def release_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete written tables (all, or those at ``paths``) and return how many.
 
     DataFrames that still read them must have been written out before."""
-    paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
-    gone = paths[since:]
-    del paths[since:]
+    held = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in held if paths is None or p in paths]
+    held[:] = [p for p in held if p not in gone]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
