@@ -121,7 +121,7 @@ def chat_format(messages: DataFrame, branches: int = 1, loss_role: str = "assist
     Null roles and texts are empty. Texts may be of any length, but one path
     becomes one string. An empty table gives an empty result; other columns
     are not looked at."""
-    kept = messages.select("tree", "node", "parent", "role", "text", "score")
+    kept = materialize(messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
     return format_paths(choose_paths(kept, branches), kept, loss_role)
 
 

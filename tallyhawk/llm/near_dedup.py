@@ -93,8 +93,9 @@ def _sign(batches, words: int):
                     low = np.minimum.reduceat((every ^ x) * m, starts)
                     sig[full, k] = (_spread(low) >> np.uint64(48)).astype(np.uint16)
         yield pd.DataFrame({
-            "doc_id": pdf["doc_id"], "n_shingles": n,
-            "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            "doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_shingles": n,
+            "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and not none else None
+                       for s, none in zip(sets, pdf["no_id"])],
             "sig": [r.tobytes() for r in sig]})
 
 
@@ -204,13 +205,14 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     than ``words`` words is one shingle. Two texts are linked if their shingle
     sets have a Jaccard similarity of ``percent`` / 100 or more; a component's
     id is its smallest doc_id, and that document is kept. Null, empty and blank
-    texts have no shingles and are linked with nothing: they are kept. Ids must
-    not be null or repeat with different texts; equal rows share their fate
-    (all kept, or all not). An empty table gives an empty result. Other columns
+    texts have no shingles and are linked with nothing: they are kept, and so are rows
+    without id. Ids must not repeat with different texts; equal rows share their
+    fate (all kept, or all not). An empty table gives an empty result. Other columns
     are not looked at."""
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(0).cast("long")).alias("doc_id"),
+                         docs[id_col].isNull().alias("no_id"), docs[text_col].cast("string").alias("text"))
     signed = materialize(source.mapInPandas(lambda it: _sign(it, words),
-                                            "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
+                                            "doc_id long, no_id boolean, n_shingles long, digest binary, sig binary"), "signed")
     classes = materialize(signed.where("digest is not null").groupBy("digest")
                           .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
     n = classes.count()
@@ -227,7 +229,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     values = F.transform(F.sequence(F.lit(0), F.lit(CHUNKS * CHUNK_SIZE - 1)),
                          lambda i: F.substring("sig", (2 * i + 1), F.lit(2)))
     sigs = classes.select("rep", values.alias("values"))
-    texts = source.select(F.col("doc_id").alias("id"), "text")
+    texts = source.where("not no_id").select(F.col("doc_id").alias("id"), "text")
 
     def links(pairs):
         return materialize(_links(pairs, sigs, texts, words, percent), "near-links")
@@ -272,7 +274,8 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     comp = components(found).withColumnRenamed("id", "rep")
     of_class = classes.select("digest", "rep").join(comp, "rep", "left") \
         .select("digest", F.coalesce("component", "rep").alias("component"))
-    return (signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    return (signed.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "digest")
+            .join(of_class, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 

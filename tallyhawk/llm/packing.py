@@ -32,24 +32,25 @@ LANE_TOKENS = 2_000_000
 #: Lanes whose totals are summed in one task (two levels of prefix sums).
 LANE_BLOCK = 1024
 
-PIECES = ("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, "
+PIECES = ("doc_id long, no_id boolean, source string, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col="doc_id", source_col="source",
              text_col="text") -> DataFrame:
-    """doc_id, source, nth (row number inside its batch), n tokens, ids; the end id included."""
+    """doc_id (0 and no_id if null), source, nth (row number inside its batch), n tokens, ids; the end id included."""
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches):
         enc = encoder(tokenizer_path)
         for pdf in batches:
             ids = [enc.ids(t or "") + end for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "nth": np.arange(len(pdf)),
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "source": pdf["source"], "nth": np.arange(len(pdf)),
                                 "n": [len(x) // 2 for x in ids], "ids": ids})
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"),
+    picked = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(0).cast("long")).alias("doc_id"),
+                         docs[id_col].isNull().alias("no_id"), docs[source_col].cast("string").alias("source"),
                          docs[text_col].alias("text"))
-    return picked.mapInPandas(run, "doc_id long, source string, nth long, n long, ids binary")
+    return picked.mapInPandas(run, "doc_id long, no_id boolean, source string, nth long, n long, ids binary")
 
 
 def _lanes(tokens: DataFrame, lane_tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +117,7 @@ def round_robin(held: np.ndarray, deficit: np.ndarray, first_room: int, window:
 
 
 def _pack_lane(docs: pd.DataFrame, plan: pd.DataFrame, window: int) -> pd.DataFrame:
-    cols = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    cols = ["doc_id", "no_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if docs.empty:
         return pd.DataFrame(columns=cols, dtype=object)
     name = lambda s: s.map(lambda v: (1, "") if v is None or v != v else (0, v))
@@ -145,6 +146,7 @@ def _pack_lane(docs: pd.DataFrame, plan: pd.DataFrame, window: int) -> pd.DataFr
         out["ids_crc32"].append(np.fromiter(
             (zlib.crc32(ids[d][s:s + z]) for d, s, z in zip(doc, start, b - a)), dtype=np.int64, count=len(a)))
         out["doc_id"].append(g["doc_id"].to_numpy()[doc])
+        out["no_id"].append(g["no_id"].to_numpy()[doc])
         out["source"].append(g["source"].to_numpy()[doc])
         out["start"].append(start)
         out["length"].append(b - a)
@@ -163,14 +165,15 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, window: int =
     included), sequence_id, offset. Every id lies in exactly one piece; pieces
     of a sequence leave no gap. All sequences hold ``window`` ids but the last.
 
-    A null or empty text is the end id alone. A null source is a source. Rows
+    A null or empty text is the end id alone. A null id stays null, a null source is a source. Rows
     that repeat an id are packed each by itself. Very long texts are cut over
     windows as any other. An empty table gives no pieces; other columns are
     not looked at. Vocabularies up to 65,536 ids."""
     tokens = materialize(tokenise(docs, tokenizer_path, end_id, **cols), "tokens")
     dealt, plan = _lanes(tokens, lane_tokens)
-    return (dealt.groupBy("lane").cogroup(plan.groupBy("lane"))
-            .applyInPandas(lambda left, right: _pack_lane(left, right, window), PIECES))
+    pieces = (dealt.groupBy("lane").cogroup(plan.groupBy("lane"))
+              .applyInPandas(lambda left, right: _pack_lane(left, right, window), PIECES))
+    return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -41,10 +41,9 @@ class Block:
     """The words of some documents, in order of id, and the hashes of their windows."""
 
     def __init__(self, pdf: pd.DataFrame, window: int):
-        ids = pdf["doc_id"].fillna(_NO_ID) if pdf["doc_id"].isna().any() else pdf["doc_id"]
-        order = np.argsort(ids.to_numpy(dtype=np.int64), kind="stable")
+        order = np.argsort(pdf["doc_id"].to_numpy(dtype=np.int64), kind="stable")
         self.window, self.pdf = window, pdf.iloc[order]
-        self.ids = ids.to_numpy(dtype=np.int64)[order]
+        self.ids = self.pdf["doc_id"].to_numpy(dtype=np.int64)
         texts = self.pdf["text"]
         words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         self.counts = np.array([len(w) for w in words], dtype=np.int64)
@@ -204,7 +203,7 @@ def _automata(passages, window: int):
 
 
 def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
-    cols = ["doc_id", "n_words", "n_removed", "kept_text"]
+    cols = ["doc_id", "no_id", "n_words", "n_removed", "kept_text"]
     if pdf.empty:
         return pd.DataFrame(columns=cols, dtype=object)
     b = Block(pdf, window)
@@ -244,7 +243,7 @@ def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
         removed.append(int(mask.sum()))
         left = words if not mask.any() else [words[i] for i in np.flatnonzero(~mask)]
         kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-    return pd.DataFrame({"doc_id": b.pdf["doc_id"].to_numpy(), "n_words": b.counts, "n_removed": removed,
+    return pd.DataFrame({"doc_id": b.ids, "no_id": b.pdf["no_id"].to_numpy(), "n_words": b.counts, "n_removed": removed,
                          "kept_text": kept})
 
 
@@ -260,7 +259,8 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     size = docs.agg(F.sum(F.octet_length(docs[text_col])), F.sum(F.regexp_count(docs[text_col], F.lit(r"\s+")))).first()
     blocks = max(1, -(-(size[0] or 0) // block_bytes))
     shards = max(1, -(-(size[1] or 0) // shard_windows))
-    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    dealt = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("doc_id"),
+                        docs[id_col].isNull().alias("no_id"), docs[text_col].cast("string").alias("text"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     grouped = dealt.groupBy("block")
     hashes = grouped.applyInPandas(lambda key, pdf: _send_hashes(pdf, int(key[0]), shards, window),
@@ -270,6 +270,7 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     passages = grouped.cogroup(asked.groupBy("block")).applyInPandas(
         lambda left, right: _send_passages(left, right, shards, window),
         "block long, first_ids array<long>, passages array<string>")
-    return grouped.cogroup(passages.groupBy("block")).applyInPandas(
+    found = grouped.cogroup(passages.groupBy("block")).applyInPandas(
         lambda left, right: _locate(left, right, window),
-        "doc_id long, n_words long, n_removed long, kept_text string")
+        "doc_id long, no_id boolean, n_words long, n_removed long, kept_text string")
+    return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
