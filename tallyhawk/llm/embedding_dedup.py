@@ -143,8 +143,8 @@ def _angle(batches):
 def _count_blocks(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame(columns=["id", "n_links"], dtype=object)
-    near = (_unit(left["v"]) @ _unit(right["v"]).T) >= threshold
-    own = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+    near = (_unit(left["v"]) @ _unit(right["r_v"]).T) >= threshold
+    own = left["id"].to_numpy()[:, None] == right["r_id"].to_numpy()[None, :]
     return pd.DataFrame({"id": left["id"], "n_links": (near & ~own).sum(axis=1)})
 
 
@@ -172,8 +172,8 @@ def _links_within(member: DataFrame, threshold: float) -> DataFrame:
     blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     left = big.where("not tight").withColumn("other", F.explode(blocks)) \
         .select("component", "block", "other", "id", "v")
-    right = left.select("component", F.col("other").alias("block"), F.col("block").alias("other"), "id", "v")
-    pairs = (left.groupBy("component", "block", "other").cogroup(right.groupBy("component", "block", "other"))
+    right = left.select(*[F.col(c).alias(f"r_{c}") for c in ("component", "block", "other", "id", "v")])
+    pairs = (left.groupBy("component", "block", "other").cogroup(right.groupBy("r_component", "r_other", "r_block"))
              .applyInPandas(lambda a, b: _count_blocks(a, b, threshold), "id long, n_links long"))
     return small.union(sure).union(pairs.groupBy("id").agg(F.sum("n_links").alias("n_links")))
 

@@ -29,7 +29,8 @@ def targets(totals: DataFrame, max_epochs: int = 3) -> DataFrame:
     ``totals`` has one row per source: rank (its order), weight, source_size.
     Water-filling in closed form: with sources in order of cap / weight, those
     that fill up are a prefix, and all others get weight times one level."""
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
+    fill = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf")))
+    order = Window.orderBy(fill, "rank")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
@@ -37,12 +38,13 @@ def targets(totals: DataFrame, max_epochs: int = 3) -> DataFrame:
          .withColumn("total", F.sum("source_size").over(everything))
          .withColumn("free", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
          .withColumn("weights", F.sum("weight").over(rest))
-         .withColumn("full", F.col("cap") * F.col("weights") <= F.col("free") * F.col("weight"))
+         .withColumn("full", (F.col("weight") > 0)
+                     & (F.col("cap") * F.col("weights") <= F.col("free") * F.col("weight")))
          .withColumn("level", F.when(~F.col("full") & F.coalesce(F.lag("full").over(order), F.lit(True)),
-                                     F.col("free").cast("double") / F.col("weights").cast("double")))
+                                     F.try_divide(F.col("free").cast("double"), F.col("weights").cast("double"))))
          .withColumn("level", F.max("level").over(everything)))
     return t.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double"))
-                        .otherwise(F.col("weight").cast("double") * F.col("level")))
+                        .otherwise(F.col("weight").cast("double") * F.coalesce("level", F.lit(0.0))))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
