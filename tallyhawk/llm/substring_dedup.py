@@ -13,8 +13,8 @@ also starts in a document with a smaller id.
 3. Confirmed passages: the asked block looks up the words, joins windows that
    follow one another to passages, and sends each passage to the block that
    shares it. From here on words count, not hashes: a false hit costs a lookup.
-4. Automata: each block compiles Aho-Corasick automata (pyahocorasick, words as
-   symbols) of the passages that recur in it, ``AUTOMATON_WINDOWS`` windows at
+4. Automata: each block compiles Aho-Corasick automata (pyahocorasick, words spelt
+   by three symbols) of the passages that recur in it, ``AUTOMATON_WINDOWS`` windows at
    a time, and streams all its documents through them.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 WINDOW = 13
 BLOCK_BYTES = 4_000_000
 SHARD_WINDOWS = 2_000_000
-AUTOMATON_WINDOWS = 100_000
+AUTOMATON_WINDOWS = 40_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _NO_ID = np.iinfo(np.int64).max   # a null id comes after all others
@@ -49,9 +49,9 @@ class Block:
         self.counts = np.array([len(w) for w in words], dtype=np.int64)
         self.ends = np.cumsum(self.counts)
         self.words = [w for doc in words for w in doc]
-        number: dict[bytes, int] = {}
-        codes = np.fromiter((number.setdefault(w, len(number)) for w in self.words), np.int64, len(self.words))
-        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
+        number = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+        codes = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
         h, span, parts = hashed[codes] if len(codes) else np.zeros(0, np.uint64), 1, []
         # hashes of runs of 1, 2, 4, ... words make up the hash of ``window`` words
         rest, step = window, _STEP
@@ -87,6 +87,13 @@ class Block:
         return h[start], order[start], self.ids[d[last]] != self.ids[d[start]] if len(h) else np.zeros(0, bool)
 
 
+def _by_shard(h: np.ndarray, shards: int):
+    """Order by shard, then hash, of sorted hashes; shards; keys (the high bits)."""
+    shard = (h & _LOW) % np.uint64(shards)
+    order = np.argsort(shard.astype(np.uint16 if shards < 65536 else np.uint32), kind="stable")
+    return order, shard[order], (h[order] >> np.uint64(32)).astype(np.uint32)
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of an integer array by planes, compressed."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
@@ -102,9 +109,8 @@ def _unpack(blob: bytes, dtype) -> np.ndarray:
 def _send_hashes(pdf: pd.DataFrame, block: int, shards: int, window: int) -> pd.DataFrame:
     b = Block(pdf, window)
     h, first, _ = b.firsts()
-    shard, low = (h >> np.uint64(32)) % np.uint64(shards), (h & _LOW).astype(np.uint32)
-    order = np.lexsort((low, shard))
-    shard, low, doc = shard[order], low[order], b.doc[first[order]].astype(np.uint32)
+    order, shard, low = _by_shard(h, shards)
+    doc = b.doc[first[order]].astype(np.uint32)
     cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, int)
     rows = []
     for s, e in zip(cut, np.append(cut[1:], len(shard))):
@@ -122,11 +128,15 @@ def _find_recurring(pdf: pd.DataFrame, shard: int) -> pd.DataFrame:
         docs.append(np.cumsum(_unpack(i, np.int64))[_unpack(d, np.uint32)])
         blocks.append(np.full(len(k), block, np.int64))
     keys, docs, blocks = map(np.concatenate, (keys, docs, blocks))
-    order = np.lexsort((blocks, docs, keys))
-    keys, blocks = keys[order], blocks[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    owner = blocks[np.flatnonzero(new)][np.cumsum(new) - 1]   # block of the smallest id
+    order = np.argsort(keys, kind="stable")      # sorted runs: merged quickly
+    keys = keys[order]
+    same = np.append(False, keys[1:] == keys[:-1])
+    shared = same | np.append(same[1:], False)
+    order, keys = order[shared], keys[shared]
+    order = order[np.lexsort((blocks[order], docs[order], keys))]
+    blocks = blocks[order]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    owner = blocks[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else blocks   # block of the smallest id
     other = ~new & (blocks != owner)
     asked, key, to = owner[other], keys[other], blocks[other]
     order = np.lexsort((to, key, asked))
@@ -143,9 +153,8 @@ def _send_passages(pdf: pd.DataFrame, asked: pd.DataFrame, shards: int, window:
         return pd.DataFrame(columns=cols, dtype=object)
     b = Block(pdf, window)
     h, first, _ = b.firsts()
-    mine = (((h >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32)) | (h & _LOW)
-    order = np.argsort(mine, kind="stable")
-    mine, first = mine[order], first[order]
+    order, shard, low = _by_shard(h, shards)
+    mine, first = (shard << np.uint64(32)) | low.astype(np.uint64), first[order]
     want, to = [], []
     for shard, k, t in zip(asked["shard"], asked["keys"], asked["to"]):
         want.append((np.uint64(shard) << np.uint64(32)) | np.cumsum(_unpack(k, np.uint32), dtype=np.uint32).astype(np.uint64))
@@ -171,12 +180,18 @@ def _send_passages(pdf: pd.DataFrame, asked: pd.DataFrame, shards: int, window:
     return pd.DataFrame([(k, i, t) for k, (i, t) in out.items()], columns=cols)
 
 
+#: A word is spelt by three letters of different alphabets, so that automaton
+#: states have few children and matches can only begin at a word.
+_BASE, _SPELT = 128, 3
+_NONE = "\x00" * _SPELT
+
+
 def _symbol(i: int) -> str:
-    return chr(i + 1) if i < 0xD7FF else chr(i + 0x801)   # no surrogates
+    return chr(1 + i // _BASE ** 2) + chr(0x4000 + i // _BASE % _BASE) + chr(0x4000 + _BASE + i % _BASE)
 
 
 def _automata(passages, window: int):
-    """(automaton, symbol of each of its words) for ``AUTOMATON_WINDOWS`` windows at a time.
+    """(automaton, spelling of each of its words) for ``AUTOMATON_WINDOWS`` windows at a time.
     ``passages``: (smallest id, words). The value of a window is its smallest id."""
     symbols: dict[bytes, str] = {}
     windows: dict[str, int] = {}
@@ -191,8 +206,8 @@ def _automata(passages, window: int):
         for piece in range(0, len(words) - window + 1, AUTOMATON_WINDOWS):
             run = words[piece:piece + AUTOMATON_WINDOWS + window - 1]
             s = "".join([symbols.get(w) or symbols.setdefault(w, _symbol(len(symbols))) for w in run])
-            for i in range(len(s) - window + 1):
-                w = s[i:i + window]
+            for i in range(0, len(s) - _SPELT * (window - 1), _SPELT):
+                w = s[i:i + _SPELT * window]
                 if windows.get(w, _NO_ID) >= first:
                     windows[w] = first
             if len(windows) >= AUTOMATON_WINDOWS:
@@ -222,19 +237,18 @@ def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
             for i, t in zip(ids, texts):
                 yield int(i), t.encode("utf-8", "surrogatepass").split()
     cover = np.zeros(len(b.words) + 1, np.int64)
-    none = _symbol(0x10F000)
     for automaton, symbols in _automata(passages(), window):
         get = symbols.get
         for k, (end, n) in enumerate(zip(b.ends, b.counts)):
             if n < window:
                 continue
             here = end - n
-            line = "".join([get(w, none) for w in b.words[here:end]])
-            own = b.ids[k]
-            hits = np.fromiter((at for at, first in automaton.iter(line) if first < own), np.int64)
-            if len(hits):
-                np.add.at(cover, here + hits - window + 1, 1)
-                np.add.at(cover, here + hits + 1, -1)
+            line = "".join([get(w, _NONE) for w in b.words[here:end]])
+            own = int(b.ids[k])
+            hits = np.array([at for at, first in automaton.iter(line) if first < own], np.int64) // _SPELT
+            # all patterns are equally long: an end is met once
+            cover[here + hits - window + 1] += 1
+            cover[here + hits + 1] -= 1
     gone = np.cumsum(cover[:-1]) > 0
     kept, removed = [], []
     for end, n in zip(b.ends, b.counts):
