@@ -12,9 +12,13 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Amounts up to 24 digits before the point and six after; sums get 32 digits.
+MONEY_TYPE = "decimal(30,6)"
+
+
 def money(c) -> Column:
-    """Amount as exact decimal so sums do not depend on row order."""
-    return col(c).cast("decimal(18,4)")
+    """Amount as exact decimal so sums do not depend on row order; null if out of range."""
+    return col(c).try_cast(MONEY_TYPE)
 
 
 def money_sum(c) -> Column:

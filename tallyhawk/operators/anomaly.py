@@ -24,6 +24,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tallyhawk.operators.features import anomaly_features, feature_vector
 from tallyhawk.operators.quantiles import exact_quantile
+from tallyhawk.session import materialize
 
 TREES = 100
 CONTAMINATION = 0.02
@@ -53,18 +54,18 @@ def _unit_hash(key, seed, tree) -> F.Column:
 
 
 def _samples(feats: DataFrame, n: int, psi: int, trees: int, seed: int) -> DataFrame:
-    """(tree, key, x) with exactly ψ rows per tree: the ψ smallest hashes."""
-    p = min(1.0, OVERSAMPLE * psi / max(n, 1))
+    """(tree, key, x) with exactly ψ rows per tree: the ψ smallest hashes (written)."""
+    p = min(1.0, OVERSAMPLE * psi / n)
     while True:
         trees_arr = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
                              lambda t: _unit_hash(F.col("key"), seed, t) < F.lit(p))
         ex = (feats.select("key", "x", F.explode(trees_arr).alias("tree"))
                    .withColumn("h", _unit_hash(F.col("key"), seed, F.col("tree"))))
         w = Window.partitionBy("tree").orderBy("h", "key")
-        picked = ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
-        short = picked.groupBy("tree").count().where(F.col("count") < psi).count() \
-            + (trees - picked.select("tree").distinct().count())
-        if short == 0 or p >= 1.0:
+        picked = materialize(ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r"),
+                             "forest-sample")
+        full = picked.groupBy("tree").count().where(F.col("count") >= psi).count()
+        if full == trees or p >= 1.0:
             return picked
         p = min(1.0, p * 4)
 
@@ -103,11 +104,13 @@ def _grow(trees_seed: int, max_depth: int):
     return build
 
 
-def fit_isolation_forest(df: DataFrame, trees: int = TREES, seed: int = SEED,
-                         max_samples: int = MAX_SAMPLES) -> dict:
-    """The forest as packed numpy arrays (small: ≤ trees × 511 nodes)."""
-    feats = anomaly_features(df).select(F.col("InvoiceID").alias("key"), feature_vector(None).alias("x"))
+def fit_isolation_forest(feats: DataFrame, trees: int = TREES, seed: int = SEED,
+                         max_samples: int = MAX_SAMPLES) -> dict | None:
+    """The forest of a written table (key, x) as packed numpy arrays (small:
+    ≤ trees × 511 nodes); none for an empty table."""
     n = feats.count()
+    if not n:
+        return None
     psi = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     sample = _samples(feats, n, psi, trees, seed)
@@ -154,11 +157,15 @@ def run_isolation_forest(df: DataFrame, trees: int = TREES, seed: int = SEED,
                          contamination: float = CONTAMINATION, max_samples: int = MAX_SAMPLES) -> DataFrame:
     """D1–D3 on an invoice table: adds ML_AnomalyScore and ML_IsAnomaly."""
     spark = df.sparkSession
-    forest = fit_isolation_forest(df, trees, seed, max_samples)
+    # the vendor aggregate and its join back are computed once
+    feats = materialize(anomaly_features(df).select(*[df[c] for c in df.columns], feature_vector(None).alias("_x")),
+                        "forest-features")
+    forest = fit_isolation_forest(feats.select(F.col("InvoiceID").alias("key"), F.col("_x").alias("x")),
+                                  trees, seed, max_samples)
+    if forest is None:
+        return df.withColumns({"ML_AnomalyScore": F.lit(None).cast("double"), "ML_IsAnomaly": F.lit(False)})
     bf = spark.sparkContext.broadcast(forest)
-    feats = anomaly_features(df)
-    scored = feats.withColumn("_s", _score_fn(bf)(feature_vector(None)))
-    from tallyhawk.session import materialize
+    scored = feats.withColumn("_s", _score_fn(bf)(F.col("_x")))
     scored = materialize(scored, "forest-scores")  # the quantile reads the scores twice
     q = exact_quantile(scored, "_s", 1.0 - contamination, name="_q").select("_q")
     out = scored.crossJoin(F.broadcast(q))  # one row

@@ -101,13 +101,32 @@ def section_blocks(docs: DataFrame, text="text") -> DataFrame:
                 .withColumn("block_text", F.col("_block")).drop("_pos", "_block"))
 
 
-def page_blocks(docs: DataFrame, text="text") -> DataFrame:
+def read_text_documents(spark, path: str) -> DataFrame:
+    """A14 + I26: a folder of plain-text files as (file_name, text, error), one row per
+    file. A file that cannot be used keeps its row: no text, and an error that says
+    why; the others are not held up. Spark's reader leaves out empty files."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.col("content").cast("string")
+    error = F.when(~F.is_valid_utf8(text), F.lit("Error: the file is not valid UTF-8 text"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), error.alias("error"), text.alias("text")) \
+        .select("file_name", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+
+
+def require_supported(files: DataFrame, name_col: str = "file_name") -> DataFrame:
+    """A16 for an upload: the supported files; an error if there is none."""
+    kept = file_type_gate(files, name_col).where("supported")
+    if not kept.limit(1).count():
+        raise ValueError("None of the files has a supported type: " + ", ".join(SUMMARY_TYPES))
+    return kept
+
+
+def page_blocks(docs: DataFrame, text="text", unit: str = "Page") -> DataFrame:
     """One block per page (form feed separates pages), empty pages skipped,
-    located 'Page n' with n counting every page."""
+    located 'Page n' with n counting every page; ``unit="Slide"`` for slides."""
     return (docs.select("*", F.posexplode(F.split(F.col(text), "\f")).alias("_pos", "_page"))
                 .withColumn("block_text", clean_text(F.col("_page")))
                 .where(F.length("block_text") > 0)
-                .withColumn("location", F.concat(F.lit("Page "), (F.col("_pos") + 1).cast("string")))
+                .withColumn("location", F.concat(F.lit(f"{unit} "), (F.col("_pos") + 1).cast("string")))
                 .drop("_pos", "_page"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhawk.functions.columns import num_key
+from tallyhawk.functions.columns import exact_mean, money, num_key
 
 FEATURE_COLS = ["Amount", "VendorAvgAmount", "VendorStdAmount", "VendorTxnCount", "InvoiceDayOfWeek"]
 NO_PREVIOUS_DAYS = 999
@@ -21,7 +21,7 @@ def vendor_amount_stats(df: DataFrame) -> DataFrame:
     """Mean, sample std (one row → 0) and count of Amount (nulls as 0)."""
     a = F.coalesce(F.col("Amount"), F.lit(0.0))
     return df.groupBy("Vendor").agg(
-        (F.sum(a.cast("decimal(18,4)")).cast("double") / F.count(a)).alias("VendorAvgAmount"),
+        (F.sum(money(a)).cast("double") / F.count(a)).alias("VendorAvgAmount"),
         F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("VendorStdAmount"),
         F.count(a).alias("VendorTxnCount"))
 
@@ -50,7 +50,7 @@ def feature_vector(df: DataFrame | None = None) -> F.Column:
 def behaviour_features(df: DataFrame) -> DataFrame:
     """C2a, C2b, C2d, C2e (C2c is ``days_since_last``)."""
     stats = df.groupBy("Vendor").agg(F.count("InvoiceNumber").alias("VendorInvoiceCount"),
-                                     F.avg("Amount").alias("VendorAvgAmount"))
+                                     exact_mean("Amount").alias("VendorAvgAmount"))
     out = df.join(stats, "Vendor", "left")
     return out.withColumns({
         "LogAmount": F.when(F.col("Amount") <= 0, F.lit(0.0)).otherwise(F.log(F.col("Amount"))),

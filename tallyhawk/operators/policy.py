@@ -1,23 +1,24 @@
 """Policy what-if and the fraud playbook.
 
-What-if evaluates many scenarios in one pass: the scenario table has a fixed,
-checked size and is broadcast; each invoice row meets every scenario and the
-aggregation is partial per task (one row per scenario per task).
+What-if evaluates a scenario table of any size in one pass over the invoices:
+invoices become cells between the scenarios' limits, and scenarios look up
+running totals over the cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.columns import blank_text, is_high, is_risky, money
+from tallyhawk.session import materialize
 
 # fixed values
 DEFAULT_VENDOR_AGE = 9999
 NEW_VENDOR_DAYS = 30
 NEAR_LIMIT_LOW = 95000
 APPROVAL_LIMIT = 100000
-MAX_SCENARIOS = 10000  # scenario tables are broadcast; larger ones are refused
 WATCHLIST_N = 5
 
 RECOMMENDATIONS = [
@@ -71,66 +72,111 @@ def _dsum(cond) -> F.Column:
     return F.coalesce(F.sum(F.when(cond, money("Amount"))), F.lit(0))
 
 
-MONEY_UNITS = 10000  # amounts carry at most four decimals
+def _bins(values: list[float], name: str, bin_col: str) -> Bucketizer:
+    """Position of a value among sorted limits, by binary search inside the plan."""
+    return Bucketizer(splits=[-float("inf"), *values, float("inf")], inputCol=name, outputCol=bin_col,
+                      handleInvalid="keep")
 
 
-def _units_sum(cond) -> F.Column:
-    """Exact sum in 1/10000 units as a long: no decimal objects in the hot loop.
-    Converting the long to double and dividing by 10000 rounds once, exactly as
-    casting the decimal sum to double does."""
-    return F.coalesce(F.sum(F.when(cond, F.col("_units"))), F.lit(0).cast("long"))
+def _limits(scenarios: DataFrame, *cols: str) -> list[float]:
+    """Distinct positive limits of the scenario table, sorted (eight bytes each)."""
+    each = F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v")
+    return sorted(r["v"] for r in scenarios.select(each).where("v > 0").distinct().collect())
 
 
 def what_if(scored: DataFrame, scenarios: DataFrame) -> DataFrame:
     """G1 + G2 for a table of scenarios (scenario_id, min_amount_dual_approval,
-    block_new_vendor_days, block_no_po_min_amount); 0 or null switches a rule off."""
+    block_new_vendor_days, block_no_po_min_amount); 0 or null switches a rule off.
+
+    All rules are limits, so each invoice is binned once by the distinct limits
+    and invoices are aggregated to cells (amount bin, age bin, no PO). Running
+    totals over the cells give, for any pair of limits, the invoices at or above
+    an amount and at or below an age; every scenario looks up seven of them and
+    combines them by inclusion and exclusion. No invoice meets a scenario."""
     sc = scenarios.select(
         F.col("scenario_id").cast("string").alias("scenario_id"),
-        F.monotonically_increasing_id().alias("_sk"),
-        F.coalesce(F.col("min_amount_dual_approval").cast("double"), F.lit(0.0)).alias("_a"),
-        F.coalesce(F.col("block_new_vendor_days").cast("int"), F.lit(0)).alias("_d"),
-        F.coalesce(F.col("block_no_po_min_amount").cast("double"), F.lit(0.0)).alias("_p"))
-    if sc.count() > MAX_SCENARIOS:  # the scenario side is broadcast: its size is checked
-        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
-    base = scored.select(_amount(scored).alias("Amount"), _vendor_age(scored).alias("_age"),
-                         _po_missing(scored).alias("_nopo"), is_risky().alias("_risky"),
-                         F.round(_amount(scored) * MONEY_UNITS).cast("long").alias("_units"))
-    x = base.crossJoin(F.broadcast(sc.drop("scenario_id")))
-    dual = (F.col("_a") > 0) & (F.col("Amount") >= F.col("_a"))
-    newv = (F.col("_d") > 0) & (F.col("_age") <= F.col("_d"))
-    nopo = (F.col("_p") > 0) & (F.col("Amount") >= F.col("_p")) & F.col("_nopo")
-    anyc = dual | newv | nopo
-    risky = F.col("_risky")
-    agg = x.groupBy("_sk").agg(
-        F.count(F.when(risky, 1)).alias("base_risky_invoices"),
-        _units_sum(risky).alias("_base_amt"),
-        F.count(F.when(risky & anyc, 1)).alias("blocked_risky_invoices"),
-        _units_sum(risky & anyc).alias("_blk_amt"),
-        F.count(F.when(dual, 1)).alias("dual_approval_hits"),
-        F.count(F.when(newv, 1)).alias("new_vendor_hits"),
-        F.count(F.when(nopo, 1)).alias("no_po_hits"),
-        F.count(F.when(anyc, 1)).alias("total_policy_hits"))
-    # scenarios that meet no invoice rows still get a row
-    agg = F.broadcast(sc.select("scenario_id", "_sk")).join(agg, "_sk", "left").na.fill(0)
-    units = float(MONEY_UNITS)
-    return agg.select(
-        "scenario_id", "base_risky_invoices",
-        (F.col("_base_amt").cast("double") / units).alias("base_risky_amount"),
-        "blocked_risky_invoices",
-        (F.col("_blk_amt").cast("double") / units).alias("blocked_risk_amount"),
+        F.coalesce(F.col("min_amount_dual_approval").cast("double"), F.lit(0.0)).alias("a"),
+        F.coalesce(F.col("block_new_vendor_days").cast("double"), F.lit(0.0)).alias("d"),
+        F.coalesce(F.col("block_no_po_min_amount").cast("double"), F.lit(0.0)).alias("p"))
+    amounts, days = _limits(sc, "a", "p"), _limits(sc, "d")
+    base = scored.select(_amount(scored).alias("amount"), (-_vendor_age(scored)).alias("youth"),
+                         _po_missing(scored).alias("nopo"), is_risky().alias("risky"),
+                         money(_amount(scored)).alias("money"))
+    # bin k of an amount: at or above the first k limits; likewise for minus the age
+    for values, name, out in ((amounts, "amount", "ab"), ([-x for x in reversed(days)], "youth", "yb")):
+        base = _bins(values, name, out).transform(base) if values else base.withColumn(out, F.lit(0.0))
+    # a NaN amount lies above all limits
+    cells = base.groupBy(F.least(F.col("ab").cast("int"), F.lit(len(amounts))).alias("ab"),
+                         F.col("yb").cast("int").alias("yb"), "nopo").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("risky"), 1)).alias("r"),
+        F.coalesce(F.sum(F.when(F.col("risky"), F.col("money"))), F.lit(0)).alias("m"))
+    cells = materialize(cells, "policy-cells")
+    measures = ("n", "r", "m")
+    # every amount bin for every age bin that occurs, so that running totals have no holes
+    grid = (spark_range(scored, len(days) + 1, "yb").crossJoin(F.broadcast(spark_range(scored, len(amounts) + 1, "ab")))
+            .withColumn("nopo", F.explode(F.array(F.lit(True), F.lit(False)))))
+    full = grid.join(cells, ["ab", "yb", "nopo"], "left").na.fill(0, ["n", "r"]) \
+        .withColumn("m", F.coalesce("m", F.lit(0).cast(cells.schema["m"].dataType)))
+    up = Window.partitionBy("yb", "nopo").orderBy(F.col("ab").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    young = Window.partitionBy("ab", "nopo").orderBy(F.col("yb").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    for w in (up, young):
+        full = full.withColumns({c: F.sum(c).over(w) for c in measures})
+    both = full.groupBy("ab", "yb").agg(*[F.sum(c).alias(c) for c in measures])
+    only = full.where("nopo").drop("nopo")
+    totals = materialize(both.withColumn("nopo", F.lit(False)).unionByName(only.withColumn("nopo", F.lit(True))),
+                         "policy-totals")
+
+    placed = (sc.join(_positions(scored, amounts, "a", "ai"), "a", "left")
+              .join(_positions(scored, amounts, "p", "pi"), "p", "left")
+              .join(_positions(scored, [-x for x in reversed(days)], "nd", "di"), F.col("nd") == -F.col("d"), "left")
+              .select("scenario_id", F.monotonically_increasing_id().alias("sk"),
+                      *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ai", "pi", "di")]))
+    placed = materialize(placed, "policy-scenarios")
+    on = {"dual": F.col("ai") > 0, "newv": F.col("di") > 0, "nopo": F.col("pi") > 0}
+    top = F.greatest("ai", "pi")
+    # rule sets → (amount bin, age bin, no PO only) of the invoices that meet all rules of the set
+    sets = [("all", F.lit(True), F.lit(0), F.lit(0), False, 0),
+            ("dual", on["dual"], F.col("ai"), F.lit(0), False, 1), ("newv", on["newv"], F.lit(0), F.col("di"), False, 1),
+            ("nopo", on["nopo"], F.col("pi"), F.lit(0), True, 1),
+            ("dual_newv", on["dual"] & on["newv"], F.col("ai"), F.col("di"), False, -1),
+            ("dual_nopo", on["dual"] & on["nopo"], top, F.lit(0), True, -1),
+            ("newv_nopo", on["newv"] & on["nopo"], F.col("pi"), F.col("di"), True, -1),
+            ("every", on["dual"] & on["newv"] & on["nopo"], top, F.col("di"), True, 1)]
+    asked = placed.select("sk", F.explode(F.filter(F.array(*[
+        F.when(cond, F.struct(F.lit(name).alias("rules"), ab.cast("int").alias("ab"), yb.cast("int").alias("yb"),
+                              F.lit(nopo).alias("nopo"), F.lit(sign).alias("sign")))
+        for name, cond, ab, yb, nopo, sign in sets]), lambda s: s.isNotNull())).alias("s")).select("sk", "s.*")
+    met = asked.join(totals, ["ab", "yb", "nopo"])
+    of = lambda name, c: F.coalesce(F.sum(F.when(F.col("rules") == name, F.col(c))), F.lit(0))
+    signed = lambda c: F.coalesce(F.sum(F.col(c) * F.col("sign")), F.lit(0))
+    agg = met.groupBy("sk").agg(
+        of("all", "r").alias("base_risky_invoices"), of("all", "m").alias("base_amt"),
+        signed("r").cast("long").alias("blocked_risky_invoices"), signed("m").alias("blk_amt"),
+        of("dual", "n").alias("dual_approval_hits"), of("newv", "n").alias("new_vendor_hits"),
+        of("nopo", "n").alias("no_po_hits"), signed("n").cast("long").alias("total_policy_hits"))
+    return placed.select("scenario_id", "sk").join(agg, "sk").select(
+        "scenario_id", "base_risky_invoices", F.col("base_amt").cast("double").alias("base_risky_amount"),
+        "blocked_risky_invoices", F.col("blk_amt").cast("double").alias("blocked_risk_amount"),
         (F.col("base_risky_invoices") - F.col("blocked_risky_invoices")).alias("new_risky_invoices"),
-        ((F.col("_base_amt") - F.col("_blk_amt")).cast("double") / units).alias("new_risk_amount"),
+        (F.col("base_amt") - F.col("blk_amt")).cast("double").alias("new_risk_amount"),
         "dual_approval_hits", "new_vendor_hits", "no_po_hits", "total_policy_hits",
         F.when(F.col("base_risky_invoices") > 0,
                F.col("blocked_risky_invoices").cast("double") / F.col("base_risky_invoices") * F.lit(100.0)
                ).otherwise(F.lit(0.0)).alias("blocked_percentage"))
 
 
+def _positions(df: DataFrame, values: list[float], name: str, position: str) -> DataFrame:
+    """Limits with their 1-based position."""
+    rows = [(v, i + 1) for i, v in enumerate(values)]
+    return df.sparkSession.createDataFrame(rows, f"{name} double, {position} int")
+
+
+def spark_range(df: DataFrame, n: int, name: str) -> DataFrame:
+    return df.sparkSession.range(n).select(F.col("id").cast("int").alias(name))
+
+
 def scenario_grid(spark, amounts, days, no_po_amounts) -> DataFrame:
-    """Cartesian grid of policy parameters as a scenario table (size-checked)."""
-    n = len(amounts) * len(days) * len(no_po_amounts)
-    if n > MAX_SCENARIOS:
-        raise ValueError(f"{n} scenarios exceed the broadcast limit {MAX_SCENARIOS}")
+    """Cartesian grid of policy parameters as a scenario table."""
     rows = [(f"s{i:05d}", float(a), int(d), float(p))
             for i, (a, d, p) in enumerate((a, d, p) for a in amounts for d in days for p in no_po_amounts)]
     return spark.createDataFrame(rows, "scenario_id string, min_amount_dual_approval double, "
@@ -160,17 +206,12 @@ def playbook_headline(scored: DataFrame) -> DataFrame:
 
 def playbook_recommendations(scored: DataFrame) -> DataFrame:
     """The fixed rule table against the one-row headline, kept when count > 0."""
-    h = playbook_counts(scored)
-    parts = []
-    for rank, cnt, title, prio, impact, reason, action in RECOMMENDATIONS:
-        parts.append(h.select(F.lit(rank).alias("rank"), F.lit(title).alias("title"),
-                              F.lit(prio).alias("priority"), F.lit(impact).alias("impact"),
-                              F.format_string(reason, F.col(cnt)).alias("reason"),
-                              F.lit(action).alias("action"), F.col(cnt).alias("_n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("_n") > 0).drop("_n").orderBy("rank")
+    rules = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(title).alias("title"), F.lit(prio).alias("priority"),
+                               F.lit(impact).alias("impact"), F.format_string(reason, F.col(cnt)).alias("reason"),
+                               F.lit(action).alias("action"), F.col(cnt).alias("n"))
+                      for rank, cnt, title, prio, impact, reason, action in RECOMMENDATIONS])
+    return (playbook_counts(scored).select(F.explode(rules).alias("r")).where("r.n > 0")
+            .select("r.rank", "r.title", "r.priority", "r.impact", "r.reason", "r.action").orderBy("rank"))
 
 
 def watchlist_vendors(scored: DataFrame, n: int = WATCHLIST_N) -> DataFrame:
@@ -187,13 +228,8 @@ def watchlist_vendors(scored: DataFrame, n: int = WATCHLIST_N) -> DataFrame:
 
 def playbook_summary(scored: DataFrame) -> DataFrame:
     """Executive text and the five quick wins as rows (kind, position, text)."""
-    h = playbook_counts(scored)
-    text = F.format_string(EXEC_TEMPLATE, F.col("risky_invoices"),
-                           F.format_number(F.col("risky_amount"), 2))
-    exec_row = h.select(F.lit("executive_summary").alias("kind"), F.lit(0).alias("position"),
-                        text.alias("text"))
-    wins = h.select(F.explode(F.arrays_zip(
-        F.sequence(F.lit(1), F.lit(len(QUICK_WINS))).alias("p"),
-        F.array(*[F.lit(w) for w in QUICK_WINS]).alias("t"))).alias("z")).select(
-        F.lit("quick_win").alias("kind"), F.col("z.p").alias("position"), F.col("z.t").alias("text"))
-    return exec_row.unionByName(wins)
+    text = F.format_string(EXEC_TEMPLATE, F.col("risky_invoices"), F.format_number(F.col("risky_amount"), 2))
+    rows = F.array(F.struct(F.lit("executive_summary").alias("kind"), F.lit(0).alias("position"), text.alias("text")),
+                   *[F.struct(F.lit("quick_win").alias("kind"), F.lit(i).alias("position"), F.lit(win).alias("text"))
+                     for i, win in enumerate(QUICK_WINS, 1)])
+    return playbook_counts(scored).select(F.explode(rows).alias("r")).select("r.kind", "r.position", "r.text")

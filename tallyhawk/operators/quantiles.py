@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhawk.session import materialize
+
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
@@ -35,8 +37,9 @@ def order_statistics(df: DataFrame, group_cols: list[str], value: str,
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = (df.where(F.col(value).isNotNull())
             .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_c")))
-    ranged = (vc.repartitionByRange(p, *group_cols, value)
-                .withColumn("_part", F.spark_partition_id()))
+    # written once: both passes below must see the same ranges
+    ranged = materialize(vc.repartitionByRange(p, *group_cols, value)
+                         .withColumn("_part", F.spark_partition_id()), "order-statistics")
     w_in = (Window.partitionBy("_part", *group_cols).orderBy(value)
                   .rowsBetween(Window.unboundedPreceding, -1))
     ranged = ranged.withColumn("_before", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))

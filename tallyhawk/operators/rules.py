@@ -37,20 +37,38 @@ def vendor_medians(df: DataFrame) -> DataFrame:
                         "VendorMedianAmount")
 
 
+def exact_duplicate(inv: DataFrame) -> DataFrame:
+    """B1: same vendor and invoice number on more than one row."""
+    return (join_null_safe(inv, key_counts(inv, EXACT_KEYS, "_ex_n"), EXACT_KEYS)
+            .withColumn("Rule_ExactDuplicate", F.col("_ex_n") > 1).drop("_ex_n"))
+
+
+def soft_duplicate(inv: DataFrame) -> DataFrame:
+    """B2: same vendor, date and amount on more than one row."""
+    return (join_null_safe(inv, key_counts(inv, SOFT_KEYS, "_soft_n"), SOFT_KEYS)
+            .withColumn("Rule_SoftDuplicate", F.col("_soft_n") > 1).drop("_soft_n"))
+
+
+def missing_po(inv: DataFrame) -> DataFrame:
+    """B3."""
+    return inv.withColumn("Rule_MissingPO", blank_text("PONumber"))
+
+
+def non_positive(inv: DataFrame) -> DataFrame:
+    """B4."""
+    return inv.withColumn("Rule_NegativeOrZeroAmount", F.coalesce(F.col("Amount") <= 0, F.lit(False)))
+
+
+def high_for_vendor(inv: DataFrame) -> DataFrame:
+    """B5 + B6: the vendor's median and amounts far above it."""
+    above = F.col("Amount") > F.lit(HIGH_AMOUNT_FACTOR) * F.col("VendorMedianAmount")
+    return (inv.join(vendor_medians(inv), "Vendor", "left")
+            .withColumn("Rule_HighAmountForVendor", F.coalesce(above, F.lit(False))))
+
+
 def add_rule_columns(inv: DataFrame) -> DataFrame:
     """B1–B6 as columns on every invoice row."""
-    out = join_null_safe(inv, key_counts(inv, EXACT_KEYS, "_ex_n"), EXACT_KEYS)
-    out = join_null_safe(out, key_counts(inv, SOFT_KEYS, "_soft_n"), SOFT_KEYS)
-    out = out.join(vendor_medians(inv), "Vendor", "left")
-    return (out
-            .withColumn("Rule_ExactDuplicate", F.col("_ex_n") > 1)
-            .withColumn("Rule_SoftDuplicate", F.col("_soft_n") > 1)
-            .withColumn("Rule_MissingPO", blank_text("PONumber"))
-            .withColumn("Rule_NegativeOrZeroAmount", F.coalesce(F.col("Amount") <= 0, F.lit(False)))
-            .withColumn("Rule_HighAmountForVendor",
-                        F.coalesce(F.col("Amount") > F.lit(HIGH_AMOUNT_FACTOR) * F.col("VendorMedianAmount"),
-                                   F.lit(False)))
-            .drop("_ex_n", "_soft_n"))
+    return high_for_vendor(non_positive(missing_po(soft_duplicate(exact_duplicate(inv)))))
 
 
 def flags_array() -> F.Column:

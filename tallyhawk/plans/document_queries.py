@@ -174,42 +174,18 @@ def q_doc_direct_answer(spark, sf):
 def _question_log(spark, sf):
     conv = table(spark, sf, "conversations")
     return conv.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+        "conv_id", "turn", F.xxhash64("conv_id", "turn", "text").alias("query_id"), F.col("text").alias("query"))
 
 
 @register("doc_answer")
 def q_doc_answer(spark, sf):
     """Questions (user turns) → embedded in the chunk space → top 8 chunks →
     threshold, repeat removal, rank ≤ 5 → answer with source line."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    chunks = _chunks(spark, sf).withColumn("chunk_key", F.monotonically_increasing_id())
+    from tallyhawk.operators.search import answer_questions
     from tallyhawk.session import materialize
-    chunks = materialize(chunks, "chunks")  # keys must stay fixed across the two scans
-    pipe = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"\W+"),
-                            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=V.EMBED_DIM),
-                            IDF(inputCol="_tf", outputCol="_idf"),
-                            Normalizer(inputCol="_idf", outputCol="_unit")])
-    model = pipe.fit(chunks.withColumn("text", F.col("chunk_text")))
-    emb = model.transform(chunks.withColumn("text", F.col("chunk_text"))).withColumn(
-        "embedding", vector_to_array("_unit", "float32"))
-    qs = _question_log(spark, sf)
-    qe = model.transform(qs.withColumn("text", F.col("query"))).withColumn(
-        "query_vec", vector_to_array("_unit", "float32"))
-    hits = V.cosine_topk(qe.select("query_id", "query_vec"), emb.select("chunk_key", "embedding"),
-                         k=D.SEARCH_K, corpus_id="chunk_key", normalise=False)
-    m = (hits.where(F.col("score") >= D.SEARCH_MIN_SCORE)
-             .join(emb.select(F.col("chunk_key").alias("match_id"), "doc_id", "file_name", "location",
-                              "chunk_id", F.col("chunk_text").alias("text")), "match_id"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("query_id").orderBy("rank")
-    m = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= D.SEARCH_REPORT)
-    ans = D.answer_queries(m.join(qs, "query_id"))
-    none = qs.join(ans.select("query_id"), "query_id", "left_anti").select(
-        "query_id", "query", F.lit(None).cast("int").alias("answer_rank"),
-        F.lit(D.NO_MATCH_ANSWER).alias("answer"), F.lit(None).cast("string").alias("source_line"))
-    return ans.unionByName(none)
+    asked = materialize(_question_log(spark, sf), "question-log")
+    found = answer_questions(_chunks(spark, sf), asked.select("query_id", "query"))
+    return asked.select("conv_id", "turn", "query_id").join(found, "query_id").drop("query_id")
 
 
 # ---- I12–I27 --------------------------------------------------------------------------------
@@ -423,19 +399,22 @@ r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
 SELECT query_id, CAST(rank2 AS INT) AS rank, match_id, round(score, 6) AS score FROM r2 WHERE rank2 <= 5""")
 def q_doc_search(spark, sf):
     """I7 on the embeddings table: top 8, drop < 0.20, drop repeated keys, report 5."""
-    from pyspark.sql import Window
+    from tallyhawk.operators.search import report_hits
     e = _emb(spark, sf)
     hits = V.cosine_topk(V.label_centroids(e), e, k=D.SEARCH_K)
-    kept = hits.where(F.col("score") >= D.SEARCH_MIN_SCORE).dropDuplicates(["query_id", "match_id"])
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return (kept.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= D.SEARCH_REPORT)
-                .withColumn("score", F.round("score", 6)))
+    keyed = hits.select("*", F.col("match_id").alias("key"))
+    return report_hits(keyed, ["key"]).drop("key").withColumn("score", F.round("score", 6))
 
 
 @register("embed_text")
 def q_embed_text(spark, sf):
     ch = _chunks(spark, sf).withColumn("text", F.col("chunk_text"))
-    return V.embed_text(ch).select("doc_id", "chunk_id", F.size("embedding").alias("dim"))
+    e = V.embed_text(ch)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    filled = F.size(F.filter("embedding", lambda x: x != 0))
+    digest = F.md5(F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ","))
+    return e.select("doc_id", "chunk_id", F.size("embedding").alias("dim"), filled.alias("non_zero"),
+                    F.round(F.sqrt(square), 4).alias("norm"), digest.alias("digest"))
 
 
 @register("cosine_lsh")
@@ -458,17 +437,9 @@ def q_invoice_text(spark, sf):
 
 @register("explain_invoices")
 def q_explain_invoices(spark, sf):
-    """K6 for the riskiest invoices: each invoice's own vector against its vendor's."""
-    from tallyhawk.operators.reports import top_risky_invoices
-    from tallyhawk.plans.invoice_queries import scored_table
+    """K6 for one invoice of every vendor, asked by a question."""
+    from tallyhawk.plans.invoice_queries import focus_ids, scored_table
     s = scored_table(spark, sf)
-    s = s.withColumn("text", V.invoice_text(s))
-    emb = V.embed_text(s).select(F.col("InvoiceID").cast("long").alias("vec_id"), "embedding", "Vendor")
-    from tallyhawk.session import materialize
-    emb = materialize(emb, "invoice-embeddings")
-    req = top_risky_invoices(s).select(F.col("InvoiceID").alias("invoice_id"), F.lit(None).cast("string").alias("question"))
-    q = (req.join(emb, F.col("invoice_id").cast("long") == F.col("vec_id"))
-            .select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "Vendor"))
-    hits = V.vendor_topk(q, emb, k=5, group="Vendor").withColumnRenamed("query_id", "qid") \
-            .withColumn("invoice_id", F.col("qid").cast("string"))
-    return V.explain_invoices(s, req, hits.select("invoice_id", "rank", "match_id", "score"))
+    asked = focus_ids(s).select(F.col("InvoiceID").alias("invoice_id"),
+                                F.concat(F.lit("why is invoice "), "InvoiceID", F.lit(" marked as risky?")).alias("question"))
+    return V.explain_invoices(s, asked, V.similar_of_vendor(s, asked))

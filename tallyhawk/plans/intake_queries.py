@@ -146,14 +146,7 @@ SELECT InvoiceID, round(CASE WHEN Amount <= 0 THEN 0.0 ELSE ln(Amount) END, 9) A
 FROM inv LEFT JOIN vs USING (Vendor)""")
 def q_behaviour_features(spark, sf):
     inv = invoice_view(spark, sf)
-    stats = inv.groupBy("Vendor").agg(
-        F.count("InvoiceNumber").alias("VendorInvoiceCount"),
-        (F.sum(F.col("Amount").cast("decimal(18,4)")).cast("double") / F.count("Amount")).alias("VendorAvgAmount"))
-    out = inv.join(stats, "Vendor", "left").withColumns({
-        "LogAmount": F.when(F.col("Amount") <= 0, F.lit(0.0)).otherwise(F.log("Amount")),
-        "HasPO": F.col("PONumber").isNotNull() & (F.col("PONumber") != ""),
-        "HighValueInvoice": F.coalesce(F.col("Amount") > F.lit(3.0) * F.col("VendorAvgAmount"), F.lit(False)),
-    })
+    out = features.behaviour_features(inv)
     return out.select("InvoiceID", F.round("LogAmount", 9).alias("LogAmount"), "VendorInvoiceCount",
                       F.round("VendorAvgAmount", 6).alias("VendorAvgAmount"), "HasPO", "HighValueInvoice")
 

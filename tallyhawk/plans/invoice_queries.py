@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhawk.operators import policy, reports
+from tallyhawk.operators import policy, reports, rules
 from tallyhawk.operators.risk import score_invoices
 from tallyhawk.operators.rules import apply_rule_checks, vendor_medians
 from tallyhawk.plans.oracle_sql import RISKY, lvl_rank, msum, msum_if, on_scored
@@ -30,26 +30,25 @@ def fresh_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rule_exact_dup", on_scored(
     "SELECT InvoiceID, Rule_ExactDuplicate FROM scored"))
 def q_rule_exact_dup(spark, sf):
-    return apply_rule_checks(invoice_view(spark, sf)).select("InvoiceID", "Rule_ExactDuplicate")
+    return rules.exact_duplicate(invoice_view(spark, sf)).select("InvoiceID", "Rule_ExactDuplicate")
 
 
 @register("rule_soft_dup", on_scored(
     "SELECT InvoiceID, Rule_SoftDuplicate FROM scored"))
 def q_rule_soft_dup(spark, sf):
-    return apply_rule_checks(invoice_view(spark, sf)).select("InvoiceID", "Rule_SoftDuplicate")
+    return rules.soft_duplicate(invoice_view(spark, sf)).select("InvoiceID", "Rule_SoftDuplicate")
 
 
 @register("rule_missing_po", on_scored(
     "SELECT InvoiceID, PONumber, Rule_MissingPO FROM scored"))
 def q_rule_missing_po(spark, sf):
-    return apply_rule_checks(invoice_view(spark, sf)).select("InvoiceID", "PONumber", "Rule_MissingPO")
+    return rules.missing_po(invoice_view(spark, sf)).select("InvoiceID", "PONumber", "Rule_MissingPO")
 
 
 @register("rule_non_positive", on_scored(
     "SELECT InvoiceID, Amount, Rule_NegativeOrZeroAmount FROM scored"))
 def q_rule_non_positive(spark, sf):
-    return apply_rule_checks(invoice_view(spark, sf)).select(
-        "InvoiceID", "Amount", "Rule_NegativeOrZeroAmount")
+    return rules.non_positive(invoice_view(spark, sf)).select("InvoiceID", "Amount", "Rule_NegativeOrZeroAmount")
 
 
 @register("vendor_median", on_scored(
@@ -64,7 +63,7 @@ def q_vendor_median(spark, sf):
 @register("rule_high_amount", on_scored(
     "SELECT InvoiceID, Amount, VendorMedianAmount, Rule_HighAmountForVendor FROM scored"))
 def q_rule_high_amount(spark, sf):
-    return apply_rule_checks(invoice_view(spark, sf)).select(
+    return rules.high_for_vendor(invoice_view(spark, sf)).select(
         "InvoiceID", "Amount", "VendorMedianAmount", "Rule_HighAmountForVendor")
 
 
@@ -123,21 +122,32 @@ def q_top_risky_invoices(spark, sf):
     return reports.top_risky_invoices(scored_table(spark, sf))
 
 
+#: Requests: the newest invoice number of every vendor, and one id that nobody has.
+FOCUS = "SELECT CAST(max(CAST(InvoiceID AS BIGINT)) AS VARCHAR) AS InvoiceID FROM scored GROUP BY Vendor"
+
+
+def focus_ids(scored):
+    return scored.groupBy("Vendor").agg(F.max(F.col("InvoiceID").cast("long")).cast("string").alias("InvoiceID")) \
+        .select("InvoiceID")
+
+
 @register("invoice_lookup", on_scored(f"""
-SELECT s.{DISPLAY.replace(', ', ', s.')}, true AS found
-FROM (SELECT InvoiceID FROM ({TOP20})) q JOIN scored s USING (InvoiceID)"""))
+SELECT q.InvoiceID, s.{DISPLAY.split(', ', 1)[1].replace(', ', ', s.')}, s.InvoiceID IS NOT NULL AS found
+FROM ({FOCUS} UNION ALL SELECT 'none') q LEFT JOIN scored s ON q.InvoiceID = s.InvoiceID"""))
 def q_invoice_lookup(spark, sf):
     scored = scored_table(spark, sf)
-    return reports.invoice_lookup(scored, reports.top_risky_invoices(scored).select("InvoiceID"))
+    unknown = spark.createDataFrame([("none",)], "InvoiceID string")
+    return reports.invoice_lookup(scored, focus_ids(scored).union(unknown))
 
 
 @register("vendor_history", on_scored(f"""
 SELECT q.InvoiceID AS focus_invoice_id, h.InvoiceID, h.InvoiceNumber, h.InvoiceDate, h.Amount,
        h.Currency, h.PONumber, h.RiskLevel, h.RiskScore
-FROM (SELECT InvoiceID, Vendor FROM ({TOP20})) q JOIN scored h ON h.Vendor = q.Vendor"""))
+FROM (SELECT s.InvoiceID, s.Vendor FROM ({FOCUS}) f JOIN scored s USING (InvoiceID)) q
+JOIN scored h ON h.Vendor = q.Vendor"""))
 def q_vendor_history(spark, sf):
     scored = scored_table(spark, sf)
-    return reports.vendor_history(scored, reports.top_risky_invoices(scored).select("InvoiceID"))
+    return reports.vendor_history(scored, focus_ids(scored))
 
 
 @register("vendor_risk_overview", on_scored(f"""

@@ -27,13 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a CPU-heavy input (document text) when the scan yields
-    fewer partitions than the cluster has cores, e.g. one large Parquet row
-    group. A many-file input at scale already has enough splits and is left as is."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key)
-    return df
+    """Hash-partition a CPU-heavy input (document text) on its key, so that one
+    large Parquet row group is not one task. The number of partitions is the
+    session's shuffle setting, and adaptive execution merges small ones."""
+    return df.repartition(key)
 
 
 _SAVED: dict = {}
