@@ -9,10 +9,14 @@ A pair of similarity 0.8 exceeds the radius with a probability of about
 3e-6. Links are confirmed on the full shingle sets.
 
 Texts with equal shingle sets are one class from the start. Inside a key's
-bucket, members are compared with the bucket's smallest id, then with its
-largest, and then only pairs of different components that have not been
-compared: a bucket of copies costs a star, not all pairs, and no link that
-could join two components is left out.
+bucket, members are compared with the bucket's smallest id; the links found
+give components. Only pairs of different components are still open. Small
+buckets list theirs. In large ones most are ruled out by two exact bounds
+before any pair is made: what a text shares with others is at most its
+shingles that some other open text has too, and by the triangle inequality
+the distances of two linked texts from the bucket's smallest id differ by at
+most the threshold's distance. So a bucket of copies costs a star, not all
+pairs, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ CHUNKS, CHUNK_SIZE, ERRORS = 8, 6, 2
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 BLOCK_DOCS = 4096
 SHARD_KEYS = 4_000_000
+#: Members up to which an open bucket lists its pairs.
+SMALL_BUCKET = 16
 #: Texts compared with one centre in one go; a centre with more is split.
 STAR_SIZE = 256
 #: Ids up to which the texts to confirm are picked by a broadcast (16 MB of ids).
@@ -160,8 +166,8 @@ def _listed(batches):
             yield pd.DataFrame({"key": np.frombuffer(k, np.int64), "id": np.frombuffer(i, np.int64)})
 
 
-def _confirm(batches, words: int, percent: int):
-    """Rows sorted by (centre, part), the centre's own text first: links found."""
+def _compare(batches, words: int):
+    """Rows sorted by (centre, part), the centre's own text first: shingles shared and in all."""
     cut, centre, own = Shingler(words), None, None
     for pdf in batches:
         found = []
@@ -171,13 +177,24 @@ def _confirm(batches, words: int, percent: int):
                 centre, own = c, s if i == c else None
             if i != c and own is not None:
                 both = len(np.intersect1d(own, s, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(s) - both):
-                    found.append((c, i))
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                found.append((c, i, both, len(own) + len(s) - both))
+        yield pd.DataFrame(found, columns=["a", "b", "both", "total"], dtype=np.int64)
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of distinct pairs (centre, id), those within the radius and confirmed on full sets."""
+def _list_shingles(batches, words: int):
+    cut = Shingler(words)
+    for pdf in batches:
+        for i, text in zip(pdf["id"], pdf["text"]):
+            yield pd.DataFrame({"id": i, "shingle": cut(text).view(np.int64)})
+
+
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    return texts.join(small_side(ids, PICK_ROWS), "id", "left_semi")
+
+
+def _measure(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Of distinct pairs (centre, id), those within the radius: a, b, and the full
+    sets' shingles in both and in all (written)."""
     of = lambda name: sigs.select(F.col("rep").alias(name), F.col("values").alias(f"{name}_values"))
     same = F.size(F.filter(F.zip_with("centre_values", "id_values", lambda x, y: x == y), lambda x: x))
     near = (pairs.join(of("centre"), "centre").join(of("id"), "id")
@@ -188,13 +205,64 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, perc
     own = parts.select("centre", F.col("centre").alias("id"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     asked = materialize(member.select("centre", "id", "part").union(own.select("centre", "id", "part")), "near-asked")
-    wanted = small_side(materialize(asked.select("id").distinct(), "near-ids"), PICK_ROWS)
-    picked = texts.join(wanted, "id", "left_semi")
+    picked = _texts_of(materialize(asked.select("id").distinct(), "near-ids"), texts)
     tasks = (asked.join(picked, "id").withColumn("own", F.col("id") == F.col("centre"))
              .repartition("centre", "part")
              .sortWithinPartitions("centre", "part", F.col("own").desc())
              .select("centre", "id", "text"))
-    return tasks.mapInPandas(lambda it: _confirm(it, words, percent), "a long, b long")
+    return materialize(tasks.mapInPandas(lambda it: _compare(it, words), "a long, b long, both long, total long"),
+                       "near-measured")
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("centre", "id").alias("lo"), F.greatest("centre", "id").alias("hi"))
+
+
+def _open_members(buckets: DataFrame, links: DataFrame, size) -> DataFrame:
+    """(key, id, component) of buckets of a ``size`` that hold several components (written)."""
+    comp = components(links)
+    member = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = (member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                       F.count(F.lit(1)).alias("n"))
+             .where((F.col("lo") != F.col("hi")) & size(F.col("n"))).select("key"))
+    return materialize(member.join(split, "key", "left_semi"), "near-open")
+
+
+def _other_pairs(left: DataFrame, right: DataFrame, may_link, tried: DataFrame) -> DataFrame:
+    """Distinct untried pairs of different components that share a key and may link (written)."""
+    there = right.select(*[F.col(c).alias("key" if c == "key" else f"{c}2") for c in right.columns])
+    met = left.join(there, (left["key"] == there["key"]) & (F.col("component") != F.col("component2")) & may_link)
+    pairs = met.select(F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi")).distinct()
+    return materialize(pairs.join(tried, ["lo", "hi"], "left_anti")
+                       .select(F.col("lo").alias("centre"), F.col("hi").alias("id")), "near-tried")
+
+
+def _large_bucket_pairs(member: DataFrame, buckets: DataFrame, measured: DataFrame, texts: DataFrame, tried: DataFrame,
+                        words: int, percent: int) -> DataFrame:
+    """Pairs of different components in large buckets that the two bounds do not rule out."""
+    ids = materialize(member.select("id").distinct(), "near-open-ids")
+    listed = materialize(_texts_of(ids, texts).mapInPandas(lambda it: _list_shingles(it, words),
+                                                           "id long, shingle long"), "near-open-shingles")
+    alone = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).where("df = 1")
+    shared = (listed.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+              .join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
+              .select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")))
+    hub = buckets.groupBy("key").agg(F.min("id").alias("hub"))
+    apart = measured.select(F.col("a").alias("hub"), F.col("b").alias("id"),
+                            (1 - F.col("both") / F.col("total")).alias("apart"))
+    full = (member.join(shared, "id").join(hub, "key").join(apart, ["hub", "id"], "left")
+            .withColumn("apart", F.when(F.col("hub") == F.col("id"), F.lit(0.0)).otherwise(F.col("apart"))).drop("hub"))
+    full = materialize(full, "near-large")
+    # one side need not be of the bucket's largest component, and must be able to link at all
+    sizes = full.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n"))
+    of_key = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"),
+                                      F.min("n").alias("least"))
+    enough = lambda m, n, n2: 100 * m >= percent * (n + n2 - m)
+    left = (full.join(of_key, "key").where(F.col("component") != F.col("main"))
+            .where(enough(F.col("shared"), F.col("n"), F.col("least"))).drop("main", "least"))
+    may_link = (enough(F.least("shared", "shared2"), F.col("n"), F.col("n2"))
+                & F.coalesce(F.abs(F.col("apart") - F.col("apart2")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+    return _other_pairs(left, full, may_link, tried)
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -231,46 +299,26 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     sigs = classes.select("rep", values.alias("values"))
     texts = source.where("not no_id").select(F.col("doc_id").alias("id"), "text")
 
-    def links(pairs):
-        return materialize(_links(pairs, sigs, texts, words, percent), "near-links")
-
-    def star(members, centre):
-        hub = members.groupBy("key").agg(centre("id").alias("centre"))
-        return members.join(hub, "key").where("id <> centre").select("centre", "id").distinct()
-
-    def both_ways(pairs):
-        return pairs.select(F.least("centre", "id").alias("lo"), F.greatest("centre", "id").alias("hi"))
+    def measure(pairs):
+        return _measure(pairs, sigs, texts, words)
 
-    def open_buckets(found):
-        """Members, with their component, of buckets that hold several components."""
-        comp = components(found)
-        member = (buckets.join(comp, "id", "left")
-                  .select("key", "id", F.coalesce("component", "id").alias("component")))
-        split = (member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                           F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key"))
-        return materialize(member.join(split, "key", "left_semi"), "near-open")
+    def links(measured):
+        return measured.where(100 * F.col("both") >= percent * F.col("total")).select("a", "b")
 
     # 1. everybody with the smallest id of each bucket
-    tried = materialize(star(buckets, F.min), "near-tried")
-    found = links(tried)
-    tried = both_ways(tried)
-    # 2. in buckets that still hold several components, everybody with the largest id
-    left = open_buckets(found)
+    hub = buckets.groupBy("key").agg(F.min("id").alias("centre"))
+    star = materialize(buckets.join(hub, "key").where("id <> centre").select("centre", "id").distinct(), "near-tried")
+    measured = measure(star)
+    found, tried = links(measured), _both_ways(star)
+    # 2. small buckets that hold several components: their other pairs
+    left = _open_members(buckets, found, lambda n: (n > 2) & (n <= SMALL_BUCKET))
+    more = _other_pairs(left, left, F.col("id") < F.col("id2"), tried)
+    found, tried = found.union(links(measure(more))), tried.union(_both_ways(more))
+    # 3. large ones: the other pairs that the bounds leave
+    left = _open_members(buckets, found, lambda n: n > SMALL_BUCKET)
     if left.limit(1).count():
-        more = star(left, F.max)
-        new = materialize(both_ways(more).distinct().join(tried, ["lo", "hi"], "left_anti")
-                          .select(F.col("lo").alias("centre"), F.col("hi").alias("id")), "near-tried")
-        found = found.union(links(new))
-        tried = tried.union(both_ways(new))
-        # 3. what is left: pairs of different components that nobody has compared
-        left = open_buckets(found)
-        if left.limit(1).count():
-            a, b = left, left.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-            rest = (a.join(b, "key").where("id < id2 and component <> component2")
-                    .select(F.col("id").alias("lo"), F.col("id2").alias("hi")).distinct()
-                    .join(tried, ["lo", "hi"], "left_anti")
-                    .select(F.col("lo").alias("centre"), F.col("hi").alias("id")))
-            found = found.union(links(materialize(rest, "near-tried")))
+        more = _large_bucket_pairs(left, buckets, measured, texts, tried, words, percent)
+        found = found.union(links(measure(more)))
     comp = components(found).withColumnRenamed("id", "rep")
     of_class = classes.select("digest", "rep").join(comp, "rep", "left") \
         .select("digest", F.coalesce("component", "rep").alias("component"))
