@@ -1,10 +1,13 @@
-"""Fraud classifier (one-hot vendor + three numbers → random forest)."""
+"""Fraud classifier (hashed one-hot vendor + three numbers → random forest).
+
+The vendor column is hashed to a fixed width, so no list of vendors is gathered
+and the model does not widen with them."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from tallyhawk.operators.features import behaviour_features, days_since_last
 
 TREES, DEPTH, SEED = 200, 8, 42
 LABEL = "IsFraudLabel"
+VENDOR_WIDTH = 1024
 NUMERIC = ["Amount", "VendorInvoiceCount", "DaysSinceLastInvoice"]
 
 
@@ -25,9 +29,8 @@ def train_classifier(df: DataFrame) -> PipelineModel:
     used by the model (its column transformer names only four inputs)."""
     feats = classifier_features(df).withColumn("label", F.col(LABEL).cast("double"))
     pipe = Pipeline(stages=[
-        StringIndexer(inputCol="Vendor", outputCol="_vendor_idx", handleInvalid="keep"),
-        OneHotEncoder(inputCols=["_vendor_idx"], outputCols=["_vendor_ohe"], handleInvalid="keep"),
-        VectorAssembler(inputCols=[*NUMERIC, "_vendor_ohe"], outputCol="features", handleInvalid="keep"),
+        FeatureHasher(inputCols=["Vendor"], outputCol="_vendor_hash", numFeatures=VENDOR_WIDTH),
+        VectorAssembler(inputCols=[*NUMERIC, "_vendor_hash"], outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
                                seed=SEED),
     ])

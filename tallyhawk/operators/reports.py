@@ -208,26 +208,20 @@ def chart_series(scored: DataFrame) -> DataFrame:
         F.lit("month_medium").alias("series"), F.col("month").alias("label"),
         F.greatest(F.lit(0.0), F.col("risky_amount") - F.col("high_amount")).alias("value"),
         F.lit(None).cast("string").alias("band"))
-    vs = (vendor_state_breakdown(scored)
-          .withColumn("_r", F.row_number().over(
-              Window.orderBy(F.col("risky").desc(), F.col("VendorState").asc_nulls_first())))
-          .where(F.col("_r") <= STATE_CHART_N))
-    state_parts = []
-    for name, v in [("state_low", F.greatest(F.lit(0), F.col("total") - F.col("risky"))),
-                    ("state_medium", F.greatest(F.lit(0), F.col("risky") - F.col("high_risk"))),
-                    ("state_high", F.col("high_risk"))]:
-        state_parts.append(vs.select(F.lit(name).alias("series"), F.col("VendorState").alias("label"),
-                                     v.cast("double").alias("value"),
-                                     F.lit(None).cast("string").alias("band")))
+    bands = F.array(*[F.struct(F.lit(name).alias("series"), v.cast("double").alias("value")) for name, v in [
+        ("state_low", F.greatest(F.lit(0), F.col("total") - F.col("risky"))),
+        ("state_medium", F.greatest(F.lit(0), F.col("risky") - F.col("high_risk"))),
+        ("state_high", F.col("high_risk"))]])
+    states = (vendor_state_breakdown(scored)
+              .orderBy(F.col("risky").desc(), F.col("VendorState").asc_nulls_first()).limit(STATE_CHART_N)
+              .select(F.explode(bands).alias("b"), F.col("VendorState").alias("label"))
+              .select("b.series", "label", "b.value", F.lit(None).cast("string").alias("band")))
     tv = top_risky_vendors(scored).select(
         F.lit("vendor_band").alias("series"), F.col("vendor").alias("label"),
         F.col("risky_amount").alias("value"),
         F.when(F.col("risky_amount") > VENDOR_BAND_HIGH, "high")
          .when(F.col("risky_amount") > VENDOR_BAND_MEDIUM, "medium").otherwise("low").alias("band"))
-    out = mas
-    for p in state_parts + [tv]:
-        out = out.unionByName(p)
-    return out
+    return mas.unionByName(states).unionByName(tv)
 
 
 def level_grid(scored: DataFrame, by: str) -> DataFrame:

@@ -162,13 +162,12 @@ ANSWER_PROMPTS = [
 def q_doc_direct_answer(spark, sf):
     """I8 on every chunk (answers are read from search hits, which are chunks of at
     most 700 characters) for each of nine fixed prompts."""
-    prompts = spark.createDataFrame([(i, p) for i, p in enumerate(ANSWER_PROMPTS)], "prompt_id int, query string")
     chunks = _chunks(spark, sf).select("doc_id", "chunk_id", F.col("chunk_text").alias("text"))
-    # nine fixed prompts (a constant, checked size) meet every chunk
-    x = chunks.crossJoin(F.broadcast(prompts))
-    return x.select("doc_id", "chunk_id", "prompt_id",
-                    D.direct_answer(F.col("query"), F.col("text")).alias("answer")) \
-            .where(F.col("answer").isNotNull())
+    # a prompt is a constant: the optimizer keeps only its own family of patterns
+    answers = F.array(*[F.struct(F.lit(i).alias("prompt_id"), D.direct_answer(F.lit(p), F.col("text")).alias("answer"))
+                        for i, p in enumerate(ANSWER_PROMPTS)])
+    return chunks.select("doc_id", "chunk_id", F.explode(answers).alias("a")) \
+        .select("doc_id", "chunk_id", "a.prompt_id", "a.answer").where("answer is not null")
 
 
 def _question_log(spark, sf):
@@ -274,11 +273,30 @@ def q_doc_phrases(spark, sf):
     return T.key_phrases(_docs(spark, sf))
 
 
-@register("doc_entities")
+ENTITY_PATTERNS = {"currency_figures": vocab.CURRENCY_PATTERN, "percentages": vocab.PERCENT_PATTERN,
+                   "dates": vocab.DATE_PATTERN, "sap_codes": vocab.CODE_PATTERN, "organisations": vocab.ORG_PATTERN}
+
+
+def _entities_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, regexp_extract_all(text, '{rx}') AS l FROM documents"
+        for kind, rx in ENTITY_PATTERNS.items())
+    cols = ", ".join(f"coalesce(string_agg(m, ' | ' ORDER BY p) FILTER (WHERE kind = '{kind}'), '') AS {kind}"
+                     for kind in ENTITY_PATTERNS)
+    return f"""
+WITH f AS ({found}),
+x AS (SELECT doc_id, kind, unnest(l) AS m, generate_subscripts(l, 1) AS i FROM f),
+d AS (SELECT doc_id, kind, m, min(i) AS p FROM x GROUP BY ALL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY p) AS r FROM d) WHERE r <= 8),
+g AS (SELECT doc_id, {cols} FROM t GROUP BY doc_id)
+SELECT documents.doc_id, {", ".join(f"coalesce({kind}, '') AS {kind}" for kind in ENTITY_PATTERNS)}
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+@register("doc_entities", _entities_sql())
 def q_doc_entities(spark, sf):
     e = T.entities(_docs(spark, sf))
-    return e.select("doc_id", *[F.array_join(f"entities.{k}", " | ").alias(k) for k in
-                                ["currency_figures", "percentages", "dates", "sap_codes", "organisations"]])
+    return e.select("doc_id", *[F.array_join(f"entities.{k}", " | ").alias(k) for k in ENTITY_PATTERNS])
 
 
 HEADING_SQL = """(length({s}) <= 120 AND (
@@ -348,7 +366,17 @@ def q_doc_reading_time(spark, sf):
     return d.select("doc_id", "word_count", T.reading_time(F.col("word_count")).alias("reading_time"))
 
 
-@register("doc_long_sentences")
+def _long_sentences_sql() -> str:
+    """Mark each split point (both alternatives of the pattern), split at the marks, strip, filter."""
+    marked = "regexp_replace(text, '([.!?])\\s+([A-Z\"''])', '\\1' || chr(1) || '\\2', 'g')"
+    marked = f"regexp_replace({marked}, '\\n\\s*([A-Z\"''])', chr(1) || '\\1', 'g')"
+    return f"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {strip('s')}),
+             lambda s: len(regexp_split_to_array(s, '\\s+')) >= 5) AS l FROM documents)
+SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS sent_id, unnest(l) AS sentence FROM s"""
+
+
+@register("doc_long_sentences", _long_sentences_sql())
 def q_doc_long_sentences(spark, sf):
     return T.long_sentences(_docs(spark, sf))
 
