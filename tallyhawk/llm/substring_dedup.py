@@ -13,9 +13,12 @@ also starts in a document with a smaller id.
 3. Confirmed passages: the asked block looks up the words, joins windows that
    follow one another to passages, and sends each passage to the block that
    shares it. From here on words count, not hashes: a false hit costs a lookup.
-4. Automata: each block compiles Aho-Corasick automata (pyahocorasick, words spelt
-   by three symbols) of the passages that recur in it, ``AUTOMATON_WINDOWS`` windows at
-   a time, and streams all its documents through them.
+4. Automata: each block compiles Aho-Corasick automata (pyahocorasick, words
+   spelt by symbols) of the passages that recur in it, ``AUTOMATON_ANCHORS``
+   anchors at a time, and streams all its documents through them. Anchors are
+   phrases of half a window, so spaced that every window of a passage holds
+   one; where an anchor occurs, the words on both sides are compared with the
+   passage as far as they agree. Agreement over a window or more is a repeat.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 WINDOW = 13
 BLOCK_BYTES = 4_000_000
 SHARD_WINDOWS = 2_000_000
-AUTOMATON_WINDOWS = 40_000
+AUTOMATON_ANCHORS = 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _NO_ID = np.iinfo(np.int64).max   # a null id comes after all others
@@ -50,7 +53,8 @@ class Block:
         self.ends = np.cumsum(self.counts)
         self.words = [w for doc in words for w in doc]
         number = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
-        codes = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        self.number, self.codes = number, np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        codes = self.codes
         hashed = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
         h, span, parts = hashed[codes] if len(codes) else np.zeros(0, np.uint64), 1, []
         # hashes of runs of 1, 2, 4, ... words make up the hash of ``window`` words
@@ -180,41 +184,68 @@ def _send_passages(pdf: pd.DataFrame, asked: pd.DataFrame, shards: int, window:
     return pd.DataFrame([(k, i, t) for k, (i, t) in out.items()], columns=cols)
 
 
-#: A word is spelt by three letters of different alphabets, so that automaton
+#: A word is spelt by two letters of different alphabets, so that automaton
 #: states have few children and matches can only begin at a word.
-_BASE, _SPELT = 128, 3
+_BASE, _SPELT = 256, 2
 _NONE = "\x00" * _SPELT
 
 
 def _symbol(i: int) -> str:
-    return chr(1 + i // _BASE ** 2) + chr(0x4000 + i // _BASE % _BASE) + chr(0x4000 + _BASE + i % _BASE)
-
-
-def _automata(passages, window: int):
-    """(automaton, spelling of each of its words) for ``AUTOMATON_WINDOWS`` windows at a time.
-    ``passages``: (smallest id, words). The value of a window is its smallest id."""
-    symbols: dict[bytes, str] = {}
-    windows: dict[str, int] = {}
-
-    def ready():
-        a = ahocorasick.Automaton()
-        for w, first in windows.items():
-            a.add_word(w, first)
-        a.make_automaton()
-        return a, symbols
-    for first, words in passages:
-        for piece in range(0, len(words) - window + 1, AUTOMATON_WINDOWS):
-            run = words[piece:piece + AUTOMATON_WINDOWS + window - 1]
-            s = "".join([symbols.get(w) or symbols.setdefault(w, _symbol(len(symbols))) for w in run])
-            for i in range(0, len(s) - _SPELT * (window - 1), _SPELT):
-                w = s[i:i + _SPELT * window]
-                if windows.get(w, _NO_ID) >= first:
-                    windows[w] = first
-            if len(windows) >= AUTOMATON_WINDOWS:
-                yield ready()
-                symbols, windows = {}, {}
-    if windows:
-        yield ready()
+    return chr(0x4000 + i // _BASE) + chr(1 + i % _BASE)
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading entries are equal."""
+    n, at = min(len(a), len(b)), 0
+    while at < n:
+        differ = np.flatnonzero(a[at:min(n, at + 64)] != b[at:min(n, at + 64)])
+        if len(differ):
+            return at + int(differ[0])
+        at += 64
+    return n
+
+
+class _Passages:
+    """Passages by block word codes, and an automaton of their anchors. An anchor's
+    value lists where it stands: (passage, place)."""
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]], window: int, vocabulary: int):
+        self.passages = passages
+        self.size = -(-window // 2)
+        gap = window - self.size + 1
+        self.spell = [_NONE] * vocabulary
+        known, anchors = 0, {}
+        for p, (_, codes) in enumerate(passages):
+            for at in range(0, len(codes) - self.size + 1, gap):
+                words = codes[at:at + self.size].tolist()
+                if min(words) < 0:
+                    continue     # a word that this block does not have
+                for c in words:
+                    if self.spell[c] is _NONE:
+                        self.spell[c], known = _symbol(known), known + 1
+                anchors.setdefault("".join([self.spell[c] for c in words]), []).append((p, at))
+        self.automaton = ahocorasick.Automaton()
+        for phrase, places in anchors.items():
+            self.automaton.add_word(phrase, places)
+        if anchors:
+            self.automaton.make_automaton()
+        self.empty = not anchors
+
+    def repeats(self, codes: np.ndarray, own: int, window: int):
+        """(start, end) of runs of ``codes`` that passages of smaller ids hold, a window long or more."""
+        line = "".join([self.spell[c] for c in codes.tolist()])
+        done: dict[tuple[int, int], int] = {}
+        for end, places in self.automaton.iter(line):
+            start = (end + 1) // _SPELT - self.size
+            for p, at in places:
+                first, passage = self.passages[p]
+                if first >= own or done.get((p, start - at), -1) >= start:
+                    continue
+                stop = start + _agree(codes[start:], passage[at:])
+                back = _agree(codes[:start][::-1], passage[:at][::-1])
+                done[(p, start - at)] = stop
+                if stop - start + back >= window:
+                    yield start - back, stop
 
 
 def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -232,30 +263,41 @@ def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
         apart[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
         start = np.flatnonzero(apart)
         for s, e in zip(start, np.append(start[1:], len(pos)) - 1 if len(pos) else start):
-            yield int(b.ids[doc[s]]), b.words[pos[s]:pos[e] + window]
+            yield int(b.ids[doc[s]]), b.codes[pos[s]:pos[e] + window]
+        code = b.number.get
         for ids, texts in zip(sent["first_ids"], sent["passages"]):
             for i, t in zip(ids, texts):
-                yield int(i), t.encode("utf-8", "surrogatepass").split()
+                yield int(i), np.array([code(w, -1) for w in t.encode("utf-8", "surrogatepass").split()], np.int64)
+
+    def batches():
+        held, words = [], 0
+        for passage in passages():
+            held.append(passage)
+            words += len(passage[1])
+            if words >= AUTOMATON_ANCHORS * (window // 2 + 1):
+                yield held
+                held, words = [], 0
+        if held:
+            yield held
     cover = np.zeros(len(b.words) + 1, np.int64)
-    for automaton, symbols in _automata(passages(), window):
-        get = symbols.get
+    for held in batches():
+        found = _Passages(held, window, len(b.number))
+        if found.empty:
+            continue
         for k, (end, n) in enumerate(zip(b.ends, b.counts)):
-            if n < window:
-                continue
-            here = end - n
-            line = "".join([get(w, _NONE) for w in b.words[here:end]])
-            own = int(b.ids[k])
-            hits = np.array([at for at, first in automaton.iter(line) if first < own], np.int64) // _SPELT
-            # all patterns are equally long: an end is met once
-            cover[here + hits - window + 1] += 1
-            cover[here + hits + 1] -= 1
+            if n >= window:
+                here = end - n
+                for s, e in found.repeats(b.codes[here:end], int(b.ids[k]), window):
+                    cover[here + s] += 1
+                    cover[here + e] -= 1
     gone = np.cumsum(cover[:-1]) > 0
     kept, removed = [], []
     for end, n in zip(b.ends, b.counts):
         mask = gone[end - n:end]
         words = b.words[end - n:end]
-        removed.append(int(mask.sum()))
-        left = words if not mask.any() else [words[i] for i in np.flatnonzero(~mask)]
+        lost = int(mask.sum())
+        removed.append(lost)
+        left = words if not lost else [words[i] for i in np.flatnonzero(~mask)]
         kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
     return pd.DataFrame({"doc_id": b.ids, "no_id": b.pdf["no_id"].to_numpy(), "n_words": b.counts, "n_removed": removed,
                          "kept_text": kept})

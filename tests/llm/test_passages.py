@@ -27,7 +27,7 @@ def brute(rows, k):
 
 @pytest.mark.parametrize("k,block,shard", [(3, 400, 50), (13, 4_000_000, 2_000_000), (13, 900, 100)])
 def test_removed_words_match_brute_force(spark, monkeypatch, k, block, shard):
-    monkeypatch.setattr(substring_dedup, "AUTOMATON_WINDOWS", 64)
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_ANCHORS", 8)
     r = rng(6)
     passage = prose(r, 60)
     texts = ["", None, "one", " ".join(["run"] * 50), " ".join(["run"] * 30), passage, passage, passage.upper()]
