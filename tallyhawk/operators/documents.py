@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhawk.session import materialize
+
 # fixed values
 CHUNK_SIZE = 700
 CHUNK_OVERLAP = 120
@@ -175,10 +177,11 @@ def _first(pattern: str, t: Column, group: int = 1) -> Column:
     return F.when(t.rlike(rx), py_strip(F.regexp_extract(t, rx, group)))
 
 
-def direct_answer(query: Column, text: Column) -> Column:
-    """I8: the first matching pattern family chosen by words in the query."""
+def direct_answer(query: Column, text: Column, collapsed: bool = False) -> Column:
+    """I8: the first matching pattern family chosen by words in the query.
+    ``collapsed``: white space in ``text`` is collapsed already."""
     q = F.lower(query)
-    t = collapse_ws(text)
+    t = text if collapsed else collapse_ws(text)
     tl = F.lower(t)
     # cheap necessary conditions first: the lazy '.*?' patterns are quadratic
     tax = F.when(tl.contains("tax"), F.coalesce(_first(r"tax procedure(?:.*?)(TAX[A-Z0-9]+)", t),
@@ -237,7 +240,9 @@ def answer_queries(matches: DataFrame) -> DataFrame:
     """I9 + I11 over ranked matches (query_id, query, rank, text, file_name, location):
     the best match's direct answer, else the first of ranks 2–4 with one, else the
     fallback of the best match; with its source line."""
-    m = matches.withColumn("_direct", direct_answer(F.col("query"), F.col("text")))
+    # written with collapsed text, so that the patterns read a column and not its whole derivation
+    m = materialize(matches.withColumn("_flat", collapse_ws(F.col("text"))), "answer-candidates")
+    m = m.withColumn("_direct", direct_answer(F.col("query"), F.col("_flat"), collapsed=True))
     cand = m.where((F.col("rank") == 1) | ((F.col("rank") <= 4) & F.col("_direct").isNotNull()))
     pick_rank = F.coalesce(F.min(F.when(F.col("_direct").isNotNull(), F.col("rank"))), F.lit(1))
     best = cand.groupBy("query_id").agg(pick_rank.alias("_pick"))

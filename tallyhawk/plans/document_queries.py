@@ -162,9 +162,11 @@ ANSWER_PROMPTS = [
 def q_doc_direct_answer(spark, sf):
     """I8 on every chunk (answers are read from search hits, which are chunks of at
     most 700 characters) for each of nine fixed prompts."""
-    chunks = _chunks(spark, sf).select("doc_id", "chunk_id", F.col("chunk_text").alias("text"))
+    from tallyhawk.session import materialize
+    chunks = materialize(_chunks(spark, sf).select("doc_id", "chunk_id", D.collapse_ws(F.col("chunk_text")).alias("text")),
+                         "chunks-collapsed")
     # a prompt is a constant: the optimizer keeps only its own family of patterns
-    answers = F.array(*[F.struct(F.lit(i).alias("prompt_id"), D.direct_answer(F.lit(p), F.col("text")).alias("answer"))
+    answers = F.array(*[F.struct(F.lit(i).alias("prompt_id"), D.direct_answer(F.lit(p), F.col("text"), True).alias("answer"))
                         for i, p in enumerate(ANSWER_PROMPTS)])
     return chunks.select("doc_id", "chunk_id", F.explode(answers).alias("a")) \
         .select("doc_id", "chunk_id", "a.prompt_id", "a.answer").where("answer is not null")
