@@ -29,8 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a CPU-heavy input (document text) on its key, so that one
     large Parquet row group is not one task. The number of partitions is the
-    session's shuffle setting, and adaptive execution merges small ones."""
-    return df.repartition(key)
+    session's shuffle setting; it is given explicitly, since adaptive execution
+    would merge partitions that are small in bytes but not in work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 _SAVED: dict = {}
