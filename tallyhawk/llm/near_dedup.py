@@ -36,6 +36,8 @@ from tallyhawk.session import materialize
 CHUNKS, CHUNK_SIZE, ERRORS = 8, 6, 2
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 BLOCK_DOCS = 4096
+#: Texts signed at a time, and words whose hashes a worker keeps.
+SIGN_ROWS, CACHE_WORDS = 2000, 200_000
 SHARD_KEYS = 4_000_000
 #: Members up to which an open bucket lists its pairs.
 SMALL_BUCKET = 16
@@ -65,7 +67,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.cache) > 500_000:
+        if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache, out = self.cache, []
         for w in words:
@@ -86,7 +88,7 @@ class Shingler:
 def _sign(batches, words: int):
     """doc_id, n_shingles, digest of the set and signature."""
     cut = Shingler(words)
-    for pdf in batches:
+    for pdf in (b.iloc[at:at + SIGN_ROWS] for b in batches for at in range(0, len(b), SIGN_ROWS)):
         sets = [cut(t) for t in pdf["text"]]
         n = np.array([len(s) for s in sets])
         full = np.flatnonzero(n)
