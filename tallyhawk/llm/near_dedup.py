@@ -9,14 +9,13 @@ A pair of similarity 0.8 exceeds the radius with a probability of about
 3e-6. Links are confirmed on the full shingle sets.
 
 Texts with equal shingle sets are one class from the start. Inside a key's
-bucket, members are compared with the bucket's smallest id; the links found
-give components. Only pairs of different components are still open. Small
-buckets list theirs. In large ones most are ruled out by two exact bounds
-before any pair is made: what a text shares with others is at most its
-shingles that some other open text has too, and by the triangle inequality
-the distances of two linked texts from the bucket's smallest id differ by at
-most the threshold's distance. So a bucket of copies costs a star, not all
-pairs, and no link that could join two components is left out.
+bucket, members are compared with the bucket's smallest id, under an eighth of
+the keys first and then under all keys where the components still differ. After
+that only pairs of different components are open. Small buckets list theirs. In
+large ones, texts outside a bucket's largest component are compared with all
+texts of the open buckets they belong to, tile by tile in numpy, and only links
+leave a task. So a bucket of copies costs a star, not all pairs, and no link
+that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -41,6 +40,8 @@ SIGN_ROWS, CACHE_WORDS = 2000, 200_000
 SHARD_KEYS = 4_000_000
 #: Members up to which an open bucket lists its pairs.
 SMALL_BUCKET = 16
+#: Rows of the two sides of a tile.
+ROW_TILE, COLUMN_TILE = 512, 2048
 #: Texts compared with one centre in one go; a centre with more is split.
 STAR_SIZE = 256
 #: Ids up to which the texts to confirm are picked by a broadcast (16 MB of ids).
@@ -183,11 +184,38 @@ def _compare(batches, words: int):
         yield pd.DataFrame(found, columns=["a", "b", "both", "total"], dtype=np.int64)
 
 
-def _list_shingles(batches, words: int):
+def _list_sets(batches, words: int):
     cut = Shingler(words)
     for pdf in batches:
-        for i, text in zip(pdf["id"], pdf["text"]):
-            yield pd.DataFrame({"id": i, "shingle": cut(text).view(np.int64)})
+        yield pd.DataFrame({"id": pdf["id"], "shingles": [cut(t).tobytes() for t in pdf["text"]]})
+
+
+def _tile_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """One link (a, b) for each text of ``left`` and component of ``right`` that holds a near text."""
+    if left.empty or right.empty:
+        return pd.DataFrame(columns=["a", "b"], dtype=object)
+    rows = [np.frombuffer(x, np.uint64) for x in left["shingles"]]
+    cols = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+    both = np.intersect1d(np.concatenate(rows), np.concatenate(cols))
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, len(both), 2048):        # a slice of the shared shingles at a time
+        part = both[at:at + 2048]
+
+        def marks(sets):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, x in enumerate(sets):
+                here = np.searchsorted(part, x[np.searchsorted(x, part[0]):np.searchsorted(x, part[-1], "right")])
+                x = x[np.searchsorted(x, part[0]):np.searchsorted(x, part[-1], "right")]
+                m[i, here[part[np.minimum(here, len(part) - 1)] == x]] = 1
+            return m
+        common += marks(rows) @ marks(cols).T
+    n, m = np.array([len(x) for x in rows])[:, None], np.array([len(x) for x in cols])[None, :]
+    near = 100 * common.astype(np.int64) >= percent * (n + m - common.astype(np.int64))
+    near &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+    i, j = np.nonzero(near)
+    found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j],
+                          "component": right["component"].to_numpy()[j]})
+    return found.groupby(["a", "component"], as_index=False)["b"].min()[["a", "b"]]
 
 
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,32 +267,28 @@ def _other_pairs(left: DataFrame, right: DataFrame, may_link, tried: DataFrame)
                        .select(F.col("lo").alias("centre"), F.col("hi").alias("id")), "near-tried")
 
 
-def _large_bucket_pairs(member: DataFrame, buckets: DataFrame, measured: DataFrame, texts: DataFrame, tried: DataFrame,
-                        words: int, percent: int) -> DataFrame:
-    """Pairs of different components in large buckets that the two bounds do not rule out."""
-    ids = materialize(member.select("id").distinct(), "near-open-ids")
-    listed = materialize(_texts_of(ids, texts).mapInPandas(lambda it: _list_shingles(it, words),
-                                                           "id long, shingle long"), "near-open-shingles")
-    alone = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).where("df = 1")
-    shared = (listed.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-              .join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
-              .select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")))
-    hub = buckets.groupBy("key").agg(F.min("id").alias("hub"))
-    apart = measured.select(F.col("a").alias("hub"), F.col("b").alias("id"),
-                            (1 - F.col("both") / F.col("total")).alias("apart"))
-    full = (member.join(shared, "id").join(hub, "key").join(apart, ["hub", "id"], "left")
-            .withColumn("apart", F.when(F.col("hub") == F.col("id"), F.lit(0.0)).otherwise(F.col("apart"))).drop("hub"))
-    full = materialize(full, "near-large")
-    # one side need not be of the bucket's largest component, and must be able to link at all
-    sizes = full.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n"))
-    of_key = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"),
-                                      F.min("n").alias("least"))
-    enough = lambda m, n, n2: 100 * m >= percent * (n + n2 - m)
-    left = (full.join(of_key, "key").where(F.col("component") != F.col("main"))
-            .where(enough(F.col("shared"), F.col("n"), F.col("least"))).drop("main", "least"))
-    may_link = (enough(F.least("shared", "shared2"), F.col("n"), F.col("n2"))
-                & F.coalesce(F.abs(F.col("apart") - F.col("apart2")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-    return _other_pairs(left, full, may_link, tried)
+def _large_bucket_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different components in large buckets (written)."""
+    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    hub = member.groupBy("key").agg(F.min("id").alias("hub"))
+    linked = components(member.join(hub, "key").select("id", "hub").distinct(), "id", "hub")
+    odd = (member.join(main, "key").groupBy("id", "component")
+           .agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("odd")))
+    ids = materialize(odd.join(linked.withColumnRenamed("component", "family"), "id"), "near-open-ids")
+    sets = _texts_of(ids.select("id"), texts).mapInPandas(lambda it: _list_sets(it, words), "id long, shingles binary")
+    full = materialize(ids.join(sets, "id"), "near-open-sets")
+    tiles = full.groupBy("family").agg(F.ceil(F.sum("odd") / ROW_TILE).cast("long").alias("rows"),
+                                       F.ceil(F.count(F.lit(1)) / COLUMN_TILE).cast("long").alias("cols"))
+    full = full.join(materialize(tiles.where("rows > 0"), "near-tiles"), "family")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = full.where("odd = 1").select("family", F.pmod(F.xxhash64("id"), "rows").alias("r"), each("cols").alias("c"),
+                                        "id", "component", "shingles")
+    right = full.select(F.col("family").alias("family2"), each("rows").alias("r2"),
+                        F.pmod(F.xxhash64("id"), "cols").alias("c2"), F.col("id").alias("id"),
+                        F.col("component").alias("component"), F.col("shingles").alias("shingles"))
+    return materialize(left.groupBy("family", "r", "c").cogroup(right.groupBy("family2", "r2", "c2"))
+                       .applyInPandas(lambda x, y: _tile_links(x, y, percent), "a long, b long"), "near-tile-links")
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -307,20 +331,27 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     def links(measured):
         return measured.where(100 * F.col("both") >= percent * F.col("total")).select("a", "b")
 
-    # 1. everybody with the smallest id of each bucket
+    # 1. everybody with the smallest id of each bucket: an eighth of the keys, then those still apart
     hub = buckets.groupBy("key").agg(F.min("id").alias("centre"))
-    star = materialize(buckets.join(hub, "key").where("id <> centre").select("centre", "id").distinct(), "near-tried")
-    measured = measure(star)
-    found, tried = links(measured), _both_ways(star)
+    star = materialize(buckets.where("pmod(key, 8) = 0").join(hub, "key").where("id <> centre")
+                       .select("centre", "id").distinct(), "near-tried")
+    found, tried = links(measure(star)), _both_ways(star)
+    comp = materialize(components(found), "near-components")
+    placed = (buckets.join(hub, "key").where("id <> centre").select("centre", "id").distinct()
+              .join(comp, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+              .join(comp.select(F.col("id").alias("centre"), "component"), "centre", "left")
+              .where(F.col("own") != F.coalesce("component", "centre")))
+    star = materialize(_both_ways(placed).distinct().join(tried, ["lo", "hi"], "left_anti")
+                       .select(F.col("lo").alias("centre"), F.col("hi").alias("id")), "near-tried")
+    found, tried = found.union(links(measure(star))), tried.union(_both_ways(star))
     # 2. small buckets that hold several components: their other pairs
     left = _open_members(buckets, found, lambda n: (n > 2) & (n <= SMALL_BUCKET))
     more = _other_pairs(left, left, F.col("id") < F.col("id2"), tried)
-    found, tried = found.union(links(measure(more))), tried.union(_both_ways(more))
-    # 3. large ones: the other pairs that the bounds leave
+    found = found.union(links(measure(more)))
+    # 3. large ones, tile by tile
     left = _open_members(buckets, found, lambda n: n > SMALL_BUCKET)
     if left.limit(1).count():
-        more = _large_bucket_pairs(left, buckets, measured, texts, tried, words, percent)
-        found = found.union(links(measure(more)))
+        found = found.union(_large_bucket_links(left, texts, words, percent))
     comp = components(found).withColumnRenamed("id", "rep")
     of_class = classes.select("digest", "rep").join(comp, "rep", "left") \
         .select("digest", F.coalesce("component", "rep").alias("component"))
