@@ -1,18 +1,18 @@
-"""Near-duplicate embeddings by sorted projection passes.
-
-In every pass vectors are ordered by label and then lexicographically by the
-concatenated bits of 64 random projections, range-partitioned, and compared in
-double precision with the ``WINDOW`` neighbours that follow. Close vectors
-agree in their leading bits and so come to lie next to each other in some
-pass; the number of passes grows with the logarithm of the largest label so
-that a pair at the threshold is missed in all passes with a probability below
-``MISS``. Verified pairs are joined inside each task, so a pass returns at most one edge
-for each vector, and the edges of all passes give the components.
-
-Links are then counted exactly inside components: small ones by one product of
-their matrix, large ones by blocks. In a component whose members all lie
-within half the threshold's angle of its mean, all pairs are links, and no pair
-is looked at: that is how very many copies of a vector cost nothing.
+"""Near-duplicate embeddings by sorted projections, compared in full.
+
+The vectors of a label are dealt by a hash of their id to blocks, and every two
+blocks of a label meet in one task, so what is compared depends neither on the
+number of partitions nor on how close a label's vectors lie. A task sorts its
+blocks by the concatenated bits of 64 random projections from the block's mean
+and cuts them into tiles of ``WINDOW`` neighbours. Two tiles whose middles are
+further apart than the threshold's angle and their radii hold no link; two that
+lie within it as a whole hold nothing but links, which is how near copies of a
+vector cost little. All other tiles are compared in double precision. No link
+is missed: the bounds only spare work.
+
+Where neither bound helps, as with vectors that point everywhere, the work
+grows with the square of the largest label, and a vector is sent once to each
+other block of its label.
 """
 
 from __future__ import annotations
@@ -24,26 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import at_least, components
+from tallyhawk.llm.common import components
 from tallyhawk.session import materialize
 
 WINDOW = 128
 BITS = 64
-MISS = 1e-6
-#: Members up to which a component is counted in one matrix product.
-SMALL = 2048
-BLOCK = 1024
-ROWS_PER_RANGE = 20_000
-_TILE = 512
-
-
-def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes needed for labels of up to ``n`` vectors; one if a window holds them all."""
-    if n <= window:
-        return 1
-    agree = 1 - math.acos(threshold) / math.pi        # one bit of a pair at the threshold
-    together = agree ** math.log2(n / window + 1)     # the bits that tell windows apart
-    return math.ceil(math.log(miss) / math.log(1 - together))
+#: Vectors of a label up to which it is one block; above, it is three or more.
+SMALL = 1024
+#: Vectors of a block.
+BLOCK = 16_384
+#: Hair's breadth in radians, so that rounding cannot turn a bound the wrong way.
+_SLACK = 1e-6
 
 
 def _unit(vectors) -> np.ndarray:
@@ -62,120 +53,98 @@ def _usable(batches):
         yield pdf[[ok(v) for v in pdf["v"]]].assign(dim=lambda p: [len(v) for v in p["v"]])
 
 
-def _project(batches, passes: int):
-    for pdf in batches:
-        for dim, part in pdf.groupby("dim"):
-            x = _unit(part["v"])
-            for p in range(passes):
-                plane = np.random.RandomState(7919 * p + dim).randn(dim, BITS)
-                bits = np.packbits(x @ plane > 0, axis=1)
-                yield pd.DataFrame({"pass": p, "label": part["label"], "dim": dim,
-                                    "key": [b.tobytes() for b in bits], "id": part["id"], "v": part["v"]})
+def _angle(cos: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cos, -1, 1))
 
 
-class _Joined:
-    """Union-find over the rows of one task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+class _Sorted:
+    """Some rows of a task in the order of their projections, as tiles with middles and radii."""
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def __init__(self, rows: np.ndarray, x: np.ndarray, window: int):
+        planes = np.random.RandomState(7919 + x.shape[1]).randn(x.shape[1], BITS)
+        bits = np.packbits((x - x.mean(axis=0)) @ planes > 0, axis=1)
+        order = np.lexsort(bits.T[::-1])
+        self.rows, self.x = rows[order], x[order]
+        self.cut = np.append(np.arange(0, len(x), window), len(x))
+        self.size = np.diff(self.cut)
+        self.middle = np.add.reduceat(self.x, self.cut[:-1], axis=0)
+        norm = np.linalg.norm(self.middle, axis=1, keepdims=True)
+        self.middle = np.where(norm > 0, self.middle / np.where(norm > 0, norm, 1), self.x[self.cut[:-1]])
+        off = _angle(np.einsum("ij,ij->i", self.x, np.repeat(self.middle, self.size, axis=0)))
+        self.radius = np.maximum.reduceat(off, self.cut[:-1])
 
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
 
+class _Joined:
+    """Components of the rows of one task; rows of one component have one number."""
 
-def _compare(batches, threshold: float, window: int):
-    """Sorted rows: edges (a, b) that join what the windows' verified pairs join."""
-    held = None
-    for pdf in batches:
-        # rows that later batches may be compared with stay
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        group = pdf["pass"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), pdf["dim"].to_numpy(np.int64)
-        change = np.append(True, np.any([g[1:] != g[:-1] for g in group], axis=0)) if len(pdf) else np.zeros(0, bool)
-        cut = np.append(np.flatnonzero(change), len(pdf))
-        joined, ids = _Joined(len(pdf)), pdf["id"].to_numpy(np.int64)
-        for s, e in zip(cut[:-1], cut[1:]):
-            x = _unit(pdf["v"].iloc[s:e])
-            for t in range(0, e - s, _TILE):
-                near = x[t:t + _TILE] @ x[t:t + _TILE + window].T
-                i, j = np.nonzero(near >= threshold)
-                ok = (j > i) & (j <= i + window)
-                for a, b in zip(i[ok] + s + t, j[ok] + s + t):
-                    joined.join(int(a), int(b))
-        root = np.array([joined.root(i) for i in range(len(pdf))], dtype=np.int64)
-        linked = np.flatnonzero(root != np.arange(len(pdf)))
-        yield pd.DataFrame({"a": ids[root[linked]], "b": ids[linked]})
-        held = pdf.iloc[-window:]
-
-
-def _count_small(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    ids, links = [], []
-    for _, part in pdf.groupby("component"):
-        x = _unit(part["v"])
-        ids.append(part["id"].to_numpy())
-        links.append(((x @ x.T) >= threshold).sum(axis=1) - 1)
-    return pd.DataFrame({"id": np.concatenate(ids), "n_links": np.concatenate(links)})
-
-
-def _sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"component": [pdf["component"].iloc[0]], "v": [_unit(pdf["v"]).sum(axis=0)]})
-
-
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"component": [pdf["component"].iloc[0]], "mean": [np.sum(np.stack(list(pdf["v"])), axis=0)]})
-
-
-def _angle(batches):
-    for pdf in batches:
-        m = np.stack([np.asarray(v, np.float64) for v in pdf["mean"]]) if len(pdf) else np.zeros((0, 1))
-        norm = np.linalg.norm(m, axis=1)
-        x = _unit(pdf["v"]) if len(pdf) else m
-        cos = np.where(norm > 0, np.einsum("ij,ij->i", x, m) / np.where(norm > 0, norm, 1), -1)
-        yield pd.DataFrame({"component": pdf["component"], "angle": np.arccos(np.clip(cos, -1, 1))})
-
-
-def _count_blocks(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame(columns=["id", "n_links"], dtype=object)
-    near = (_unit(left["v"]) @ _unit(right["r_v"]).T) >= threshold
-    own = left["id"].to_numpy()[:, None] == right["r_id"].to_numpy()[None, :]
-    return pd.DataFrame({"id": left["id"], "n_links": (near & ~own).sum(axis=1)})
-
-
-def _links_within(member: DataFrame, threshold: float) -> DataFrame:
-    """(id, n_links) of ``member``: id, component, v."""
-    member = materialize(member, "emb-members")
-    size = materialize(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "emb-sizes")
-    groups = max(1, -(-member.count() // (2 * SMALL)))
-    sized = member.join(size, "component")
-    small = (sized.where(F.col("size") <= SMALL).withColumn("deal", F.pmod(F.xxhash64("component"), F.lit(groups)))
-             .groupBy("deal").applyInPandas(lambda pdf: _count_small(pdf, threshold), "id long, n_links long"))
-    if not size.where(F.col("size") > SMALL).limit(1).count():
-        return small
-    big = sized.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")) \
-        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    sums = big.groupBy("component", "block").applyInPandas(_sum_up, "component long, v array<double>")
-    mean = sums.groupBy("component").applyInPandas(_add_up, "component long, mean array<double>")
-    wide = (big.join(mean, "component").select("component", "v", "mean")
-            .mapInPandas(_angle, "component long, angle double")
-            .groupBy("component").agg(F.max("angle").alias("angle")))
-    # a hair's breadth off, so that rounding cannot turn a non-link into a link
-    tight = materialize(wide.withColumn("tight", 2 * F.col("angle") <= math.acos(threshold) - 1e-7), "emb-tight")
-    big = big.join(tight, "component")
-    sure = big.where("tight").select("id", (F.col("size") - 1).alias("n_links"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    left = big.where("not tight").withColumn("other", F.explode(blocks)) \
-        .select("component", "block", "other", "id", "v")
-    right = left.select(*[F.col(c).alias(f"r_{c}") for c in ("component", "block", "other", "id", "v")])
-    pairs = (left.groupBy("component", "block", "other").cogroup(right.groupBy("r_component", "r_other", "r_block"))
-             .applyInPandas(lambda a, b: _count_blocks(a, b, threshold), "id long, n_links long"))
-    return small.union(sure).union(pairs.groupBy("id").agg(F.sum("n_links").alias("n_links")))
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join each i[k] with j[k]."""
+        while len(i):
+            a, b = self.of[i], self.of[j]
+            open_ = np.flatnonzero(a != b)
+            if not len(open_):
+                return
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, open_], axis=1)
+            # each number goes to the smallest that it meets; the numbers met stay to be joined
+            up = np.arange(len(self.of))
+            np.minimum.at(up, pairs[1], pairs[0])
+            while (up[up] != up).any():
+                up = up[up]
+            self.of = up[self.of]
+            i, j = pairs
+
+
+def _meet(a: _Sorted, b: _Sorted, links: np.ndarray, joined: _Joined, threshold: float) -> None:
+    """Count and join the links between ``a`` and ``b``, or inside ``a`` if they are the same."""
+    limit, inside = math.acos(threshold), a is b
+    for t in range(len(a.size)):
+        here = slice(a.cut[t], a.cut[t + 1])
+        rows = a.rows[here]
+        apart, radii = _angle(b.middle @ a.middle[t]), b.radius + a.radius[t]
+        later = np.arange(len(b.size)) >= t if inside else np.ones(len(b.size), bool)
+        sure = later & (apart + radii <= limit - _SLACK)
+        for u in np.flatnonzero(sure):
+            other = b.rows[b.cut[u]:b.cut[u + 1]]
+            if inside and u == t:
+                links[rows] += len(rows) - 1
+            else:
+                links[rows] += len(other)
+                links[other] += len(rows)
+            joined.join(np.full(len(other), rows[0]), other)
+            joined.join(np.full(len(rows), rows[0]), rows)
+        look = later & ~sure & (apart - radii <= limit + _SLACK)
+        if not look.any():
+            continue
+        at = np.flatnonzero(np.repeat(look, b.size))
+        near = a.x[here] @ b.x[at].T >= threshold
+        if inside:
+            near &= at[None, :] > np.arange(a.cut[t], a.cut[t + 1])[:, None]
+        i, j = np.nonzero(near)
+        i, j = rows[i], b.rows[at[j]]
+        links += np.bincount(i, minlength=len(links)) + np.bincount(j, minlength=len(links))
+        joined.join(i, j)
+
+
+def _compare(pdf: pd.DataFrame, threshold: float, window: int) -> pd.DataFrame:
+    """Blocks ``left`` and ``right`` (the same if a label is one block): the links a row
+    has in here, and a row of its component. The links inside a block count where it is
+    ``left`` and the next block, or itself, is ``right``."""
+    pdf = pdf.sort_values("id", ignore_index=True)
+    x, block, ids = _unit(pdf["v"]), pdf["block"].to_numpy(), pdf["id"].to_numpy(np.int64)
+    links, joined = np.zeros(len(pdf), np.int64), _Joined(len(pdf))
+    n, left, right = (int(pdf[c].iat[0]) for c in ("blocks", "left", "right"))
+    side = {k: _Sorted(np.flatnonzero(block == k), x[block == k], window) for k in np.unique(block).tolist()}
+    if left in side and (right == left or right == (left + 1) % n):
+        _meet(side[left], side[left], links, joined, threshold)
+    if right in side and right != left and left == (right + 1) % n:
+        _meet(side[right], side[right], links, joined, threshold)
+    if left != right and len(side) == 2:
+        _meet(side[left], side[right], links, joined, threshold)
+    linked = np.flatnonzero(links)
+    return pd.DataFrame({"a": ids[joined.of[linked]], "b": ids[linked], "n": links[linked]})
 
 
 def embedding_groups(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id",
@@ -187,25 +156,27 @@ def embedding_groups(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     Vectors that are null, empty, zero or hold null or non-finite components,
     and vectors without label, link with nothing. Labels are integers. Ids must
     not be null or repeat with different vectors; equal rows count as one
-    vector. An empty table gives an empty result. Other columns are not looked at."""
-    spark = vectors.sparkSession
+    vector. An empty table gives an empty result. Other columns are not looked at.
+    ``window`` is the size of a tile and has no part in the result."""
     every = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("long").alias("label"),
                            vectors[vector_col].alias("v"))
     complete = (every.where("label is not null and id is not null and v is not null and not exists(v, x -> x is null)")
                 .dropDuplicates(["id"]))
     usable = materialize(complete.mapInPandas(
         _usable, f"id long, label long, v {vectors.schema[vector_col].dataType.simpleString()}, dim int"), "emb-usable")
-    largest = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    passes = passes_for(largest[0] or 1, threshold, window)
-    parts = at_least(spark, (largest[1] or 0) * passes, ROWS_PER_RANGE)
-    v_type = usable.schema["v"].dataType.simpleString()
-    order = ["pass", "label", "dim", "key", "id"]
-    edges = (usable.mapInPandas(lambda it: _project(it, passes),
-                                f"pass int, label long, dim int, key binary, id long, v {v_type}")
-             .repartitionByRange(parts, *order).sortWithinPartitions(*order)
-             .mapInPandas(lambda it: _compare(it, threshold, window), "a long, b long"))
-    comp = materialize(components(materialize(edges.distinct(), "emb-edges")), "emb-components")
-    links = _links_within(comp.join(usable.select("id", "v"), "id"), threshold)
+    blocks = F.when(F.col("n") <= SMALL, 1).otherwise(F.greatest(F.lit(3), F.ceil(F.col("n") / BLOCK))).cast("int")
+    sizes = usable.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", blocks.alias("blocks"))
+    # every two blocks of a label meet once; a label of one block meets itself
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("blocks") == 1) | (o != F.col("block")))
+    dealt = (usable.join(sizes, ["label", "dim"])
+             .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+             .withColumn("other", F.explode(others))
+             .select("label", "dim", "blocks", F.least("block", "other").alias("left"),
+                     F.greatest("block", "other").alias("right"), "block", "id", "v"))
+    found = materialize(dealt.groupBy("label", "dim", "left", "right").applyInPandas(
+        lambda pdf: _compare(pdf, threshold, window), "a long, b long, n long"), "emb-links")
+    comp = materialize(components(found.select("a", "b").distinct()), "emb-components")
+    links = found.groupBy(F.col("b").alias("id")).agg(F.sum("n").alias("n_links"))
     known = comp.join(links, "id")
     return (every.select(F.col("id").alias("vec_id")).join(known.withColumnRenamed("id", "vec_id"), "vec_id", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

@@ -51,3 +51,21 @@ def test_links_match_all_pairs(spark, monkeypatch, small, window):
 
 def test_empty_table(spark):
     assert embedding_dedup.embedding_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("count,labels", [(200, 10), (1000, 10)])
+def test_links_do_not_depend_on_the_number_of_partitions(spark, count, labels):
+    g = np.random.RandomState(2)
+    rows = []
+    for k in range(count // 2):
+        v = g.randn(64)
+        for i in (k, count - 1 - k):
+            rows.append((i, [float(np.float32(x)) for x in v + 0.1 * g.randn(64)], k % labels))
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = embedding_dedup.embedding_groups(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(x.vec_id, x.n_links, x.component_id, x.kept) for x in got} == brute(rows)
