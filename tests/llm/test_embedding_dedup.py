@@ -69,3 +69,20 @@ def test_links_do_not_depend_on_the_number_of_partitions(spark, count, labels):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {(x.vec_id, x.n_links, x.component_id, x.kept) for x in got} == brute(rows)
+
+
+def test_no_link_is_missed_in_a_dense_label(spark):
+    g, n, mutual = np.random.RandomState(4), 4000, 0.86
+    centre = np.eye(48)[0]
+    noise = g.randn(n, 48) * (np.arange(48) > 0)
+    x = np.sqrt(mutual) * centre + np.sqrt(1 - mutual) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x[-600:] = x[0] + 1e-3 * g.randn(600, 48)     # near copies
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(np.triu(near))
+    component = components(range(n), list(zip(a.tolist(), b.tolist())))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(df).collect()}
+    assert got == {i: (int(near[i].sum()), component[i]) for i in range(n)}
