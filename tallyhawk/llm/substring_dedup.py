@@ -10,9 +10,11 @@ also starts in a document with a smaller id.
    each (block, shard). So a window that a third of all documents hold comes
    from each block once. A shard sees which hashes meet in two or more blocks
    and asks the block of the smallest id for those passages, for each other block.
+   Windows are told apart by all 64 bits of their hash: some 5e9 windows hold one
+   pair that shares a hash, of which the one with the larger id may be missed.
 3. Confirmed passages: the asked block looks up the words, joins windows that
    follow one another to passages, and sends each passage to the block that
-   shares it. From here on words count, not hashes: a false hit costs a lookup.
+   shares it. From here on words count, not hashes.
 4. Automata: each block compiles Aho-Corasick automata (pyahocorasick, words
    spelt by symbols) of the passages that recur in it, ``AUTOMATON_ANCHORS``
    anchors at a time, and streams all its documents through them. Anchors are
@@ -92,10 +94,10 @@ class Block:
 
 
 def _by_shard(h: np.ndarray, shards: int):
-    """Order by shard, then hash, of sorted hashes; shards; keys (the high bits)."""
+    """Order by shard, then hash, of sorted hashes; shards; hashes."""
     shard = (h & _LOW) % np.uint64(shards)
     order = np.argsort(shard.astype(np.uint16 if shards < 65536 else np.uint32), kind="stable")
-    return order, shard[order], (h[order] >> np.uint64(32)).astype(np.uint32)
+    return order, shard[order], h[order]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -113,13 +115,13 @@ def _unpack(blob: bytes, dtype) -> np.ndarray:
 def _send_hashes(pdf: pd.DataFrame, block: int, shards: int, window: int) -> pd.DataFrame:
     b = Block(pdf, window)
     h, first, _ = b.firsts()
-    order, shard, low = _by_shard(h, shards)
+    order, shard, keys = _by_shard(h, shards)
     doc = b.doc[first[order]].astype(np.uint32)
     cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, int)
     rows = []
     for s, e in zip(cut, np.append(cut[1:], len(shard))):
         used, local = np.unique(doc[s:e], return_inverse=True)
-        rows.append((int(shard[s]), block, _pack(np.diff(low[s:e], prepend=np.uint32(0))),
+        rows.append((int(shard[s]), block, _pack(np.diff(keys[s:e], prepend=np.uint64(0))),
                      _pack(local.astype(np.uint32)), _pack(np.diff(b.ids[used], prepend=np.int64(0)))))
     return pd.DataFrame(rows, columns=["shard", "block", "keys", "docs", "ids"])
 
@@ -127,7 +129,7 @@ def _send_hashes(pdf: pd.DataFrame, block: int, shards: int, window: int) -> pd.
 def _find_recurring(pdf: pd.DataFrame, shard: int) -> pd.DataFrame:
     keys, docs, blocks = [], [], []
     for block, k, d, i in zip(pdf["block"], pdf["keys"], pdf["docs"], pdf["ids"]):
-        k = np.cumsum(_unpack(k, np.uint32), dtype=np.uint32)
+        k = np.cumsum(_unpack(k, np.uint64), dtype=np.uint64)
         keys.append(k)
         docs.append(np.cumsum(_unpack(i, np.int64))[_unpack(d, np.uint32)])
         blocks.append(np.full(len(k), block, np.int64))
@@ -146,29 +148,23 @@ def _find_recurring(pdf: pd.DataFrame, shard: int) -> pd.DataFrame:
     order = np.lexsort((to, key, asked))
     asked, key, to = asked[order], key[order], to[order]
     cut = np.flatnonzero(np.append(True, asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, int)
-    rows = [(int(asked[s]), shard, _pack(np.diff(key[s:e], prepend=np.uint32(0))), _pack(to[s:e]))
+    rows = [(int(asked[s]), shard, _pack(np.diff(key[s:e], prepend=np.uint64(0))), _pack(to[s:e]))
             for s, e in zip(cut, np.append(cut[1:], len(asked)))]
     return pd.DataFrame(rows, columns=["block", "shard", "keys", "to"])
 
 
-def _send_passages(pdf: pd.DataFrame, asked: pd.DataFrame, shards: int, window: int) -> pd.DataFrame:
+def _send_passages(pdf: pd.DataFrame, asked: pd.DataFrame, window: int) -> pd.DataFrame:
     cols = ["block", "first_ids", "passages"]
     if pdf.empty or asked.empty:
         return pd.DataFrame(columns=cols, dtype=object)
     b = Block(pdf, window)
     h, first, _ = b.firsts()
-    order, shard, low = _by_shard(h, shards)
-    mine, first = (shard << np.uint64(32)) | low.astype(np.uint64), first[order]
     want, to = [], []
-    for shard, k, t in zip(asked["shard"], asked["keys"], asked["to"]):
-        want.append((np.uint64(shard) << np.uint64(32)) | np.cumsum(_unpack(k, np.uint32), dtype=np.uint32).astype(np.uint64))
+    for k, t in zip(asked["keys"], asked["to"]):
+        want.append(np.cumsum(_unpack(k, np.uint64), dtype=np.uint64))
         to.append(_unpack(t, np.int64))
     want, to = np.concatenate(want), np.concatenate(to)
-    # equal low bits of different hashes: send each of those windows
-    lo, hi = np.searchsorted(mine, want, "left"), np.searchsorted(mine, want, "right")
-    many = hi - lo
-    hit = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    win, to = first[hit], np.repeat(to, many)
+    win = first[np.searchsorted(h, want)]     # a block is asked only for what it sent
     pos, doc = b.at[win], b.doc[win]
     order = np.lexsort((pos, to))
     pos, doc, to = pos[order], doc[order], to[order]
@@ -324,7 +320,7 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     asked = hashes.groupBy("shard").applyInPandas(lambda key, pdf: _find_recurring(pdf, int(key[0])),
                                                   "block long, shard long, keys binary, to binary")
     passages = grouped.cogroup(asked.groupBy("block")).applyInPandas(
-        lambda left, right: _send_passages(left, right, shards, window),
+        lambda left, right: _send_passages(left, right, window),
         "block long, first_ids array<long>, passages array<string>")
     found = grouped.cogroup(passages.groupBy("block")).applyInPandas(
         lambda left, right: _locate(left, right, window),

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import DOCS, docs_frame, prose, rng, words
 
@@ -46,3 +48,23 @@ def test_removed_words_match_brute_force(spark, monkeypatch, k, block, shard):
 
 def test_empty_table(spark):
     assert substring_dedup.drop_repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_windows_that_share_the_upper_half_of_a_hash(monkeypatch):
+    """Upper halves narrowed to 8 bits, so that most keys of a shard would meet by them."""
+    whole = substring_dedup.Block.__init__
+
+    def narrow(self, pdf, window):
+        whole(self, pdf, window)
+        self.hash = (self.hash & np.uint64(0xFFFFFFFF)) | (self.hash >> np.uint64(56) << np.uint64(32))
+    monkeypatch.setattr(substring_dedup.Block, "__init__", narrow)
+    r, k, shards = rng(8), 13, 2
+    shared = [prose(r, r.randint(13, 16), 5000) for _ in range(150)]
+    rows = [(i, " ".join([prose(r, 20, 5000), shared[i % 150], prose(r, 20, 5000)])) for i in range(450)]
+    r.shuffle(rows)
+    blocks = [pd.DataFrame(rows[b::6], columns=["doc_id", "text"]).assign(no_id=False) for b in range(6)]
+    sent = pd.concat([substring_dedup._send_hashes(p, b, shards, k) for b, p in enumerate(blocks)])
+    asked = pd.concat([substring_dedup._find_recurring(p, s) for s, p in sent.groupby("shard")])
+    passages = pd.concat([substring_dedup._send_passages(p, asked[asked["block"] == b], k) for b, p in enumerate(blocks)])
+    got = pd.concat([substring_dedup._locate(p, passages[passages["block"] == b], k) for b, p in enumerate(blocks)])
+    assert sorted(zip(got["doc_id"], got["n_words"], got["n_removed"], got["kept_text"]), key=str) == brute(rows, k)
