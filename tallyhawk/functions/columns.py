@@ -21,6 +21,11 @@ def money(c) -> Column:
     return col(c).try_cast(MONEY_TYPE)
 
 
+def out_of_money_range(c) -> Column:
+    """True for an amount that ``money`` cannot hold, and so leaves out of sums."""
+    return col(c).isNotNull() & money(c).isNull()
+
+
 def money_sum(c) -> Column:
     """Order-independent sum of a money column, reported as double."""
     return F.sum(money(c)).cast("double")

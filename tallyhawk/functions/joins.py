@@ -18,3 +18,9 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
         cond = c if cond is None else cond & c
     out = left.join(r, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys])
+
+
+def bounded_broadcast(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``rows`` narrow rows, else as it is (a
+    shuffle join). ``df`` should read a written table: it is counted here."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

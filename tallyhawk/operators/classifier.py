@@ -1,7 +1,8 @@
 """Fraud classifier (hashed one-hot vendor + three numbers → random forest).
 
-The vendor column is hashed to a fixed width, so no list of vendors is gathered
-and the model does not widen with them."""
+The vendor column is hashed to a width of about two slots a vendor, at most
+``VENDOR_WIDTH``, so no list of vendors is gathered, and with few vendors the three numbers
+are not lost among empty slots when a split draws its features."""
 
 from __future__ import annotations
 
@@ -28,8 +29,10 @@ def train_classifier(df: DataFrame) -> PipelineModel:
     """D4. HighValueInvoice and HasPO are computed but, as in the original, not
     used by the model (its column transformer names only four inputs)."""
     feats = classifier_features(df).withColumn("label", F.col(LABEL).cast("double"))
+    vendors = df.agg(F.approx_count_distinct("Vendor")).first()[0] or 1
+    width = min(VENDOR_WIDTH, 1 << (2 * vendors - 1).bit_length())
     pipe = Pipeline(stages=[
-        FeatureHasher(inputCols=["Vendor"], outputCol="_vendor_hash", numFeatures=VENDOR_WIDTH),
+        FeatureHasher(inputCols=["Vendor"], outputCol="_vendor_hash", numFeatures=width),
         VectorAssembler(inputCols=[*NUMERIC, "_vendor_hash"], outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
                                seed=SEED),

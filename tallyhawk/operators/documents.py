@@ -36,10 +36,17 @@ def py_strip(c: Column) -> Column:
 
 # ---- A13 / A15 / A16 --------------------------------------------------------------
 
-def document_blocks(docs: DataFrame, text="text", file_name="source") -> DataFrame:
-    """A document table as blocks (doc_id, file_name, location, doc_type, text)."""
+def document_blocks(docs: DataFrame, text="text", file_name="source", location: str | None = None,
+                    doc_type: str | None = None) -> DataFrame:
+    """A document table as blocks (doc_id, file_name, location, doc_type, text).
+
+    ``location`` and ``doc_type`` name columns that hold them; without them a document is one page, and its type is
+    the extension of its file name (``txt`` without one)."""
+    ext = F.lower(F.regexp_extract(F.col(file_name), r"\.([^./]+)$", 1))
+    kind = F.when(F.coalesce(ext, F.lit("")) == "", F.lit("txt")).otherwise(ext)
     return docs.select("doc_id", F.col(file_name).alias("file_name"),
-                       F.lit("Page 1").alias("location"), F.lit("txt").alias("doc_type"),
+                       (F.col(location) if location else F.lit("Page 1")).alias("location"),
+                       (F.col(doc_type) if doc_type else kind).alias("doc_type"),
                        F.col(text).alias("text"))
 
 
@@ -103,14 +110,15 @@ def section_blocks(docs: DataFrame, text="text") -> DataFrame:
                 .withColumn("block_text", F.col("_block")).drop("_pos", "_block"))
 
 
-def read_text_documents(spark, path: str) -> DataFrame:
+def read_text_documents(spark, path: str, refuse_invalid: bool = False) -> DataFrame:
     """A14 + I26: a folder of plain-text files as (file_name, text, error), one row per
-    file. A file that cannot be used keeps its row: no text, and an error that says
-    why; the others are not held up. Spark's reader leaves out empty files."""
+    file. Bytes that are not UTF-8 become U+FFFD; with ``refuse_invalid`` such a file
+    keeps its row without text, and an error says why, so that the others are not
+    held up. Spark's reader leaves out empty files."""
     files = spark.read.format("binaryFile").load(path)
     text = F.col("content").cast("string")
-    error = F.when(~F.is_valid_utf8(text), F.lit("Error: the file is not valid UTF-8 text"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), error.alias("error"), text.alias("text")) \
+    error = F.when(F.lit(refuse_invalid) & ~F.is_valid_utf8(text), F.lit("Error: the file is not valid UTF-8 text"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), error.alias("error"), F.make_valid_utf8(text).alias("text")) \
         .select("file_name", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 

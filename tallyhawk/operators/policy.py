@@ -1,8 +1,8 @@
 """Policy what-if and the fraud playbook.
 
 What-if evaluates a scenario table of any size in one pass over the invoices:
-invoices become cells between the scenarios' limits, and scenarios look up
-running totals over the cells.
+invoices become cells between the scenarios' limits, and scenarios ask for sums
+over the cells that occur.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.columns import blank_text, is_high, is_risky, money
+from tallyhawk.operators.ordinal import with_ordinal
 from tallyhawk.session import materialize
 
 # fixed values
@@ -72,63 +73,94 @@ def _dsum(cond) -> F.Column:
     return F.coalesce(F.sum(F.when(cond, money("Amount"))), F.lit(0))
 
 
-def _bins(values: list[float], name: str, bin_col: str) -> Bucketizer:
-    """Position of a value among sorted limits, by binary search inside the plan."""
-    return Bucketizer(splits=[-float("inf"), *values, float("inf")], inputCol=name, outputCol=bin_col,
-                      handleInvalid="keep")
-
-
-def _limits(scenarios: DataFrame, *cols: str) -> list[float]:
-    """Distinct positive limits of the scenario table, sorted (eight bytes each)."""
-    each = F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v")
-    return sorted(r["v"] for r in scenarios.select(each).where("v > 0").distinct().collect())
-
-
-def what_if(scored: DataFrame, scenarios: DataFrame) -> DataFrame:
+#: Distinct limits up to which they are written into the plan (eight bytes each); more are merged with the rows by sorting.
+PLAN_LIMITS = 20_000
+
+
+def _limits(values: DataFrame) -> DataFrame:
+    """(v, place): distinct limits with their 1-based position, a written table."""
+    placed = with_ordinal(values.distinct(), ["v"], "o")
+    return materialize(placed.select("v", (F.col("o") + 1).cast("int").alias("place")), "policy-limits")
+
+
+def _binned(rows: DataFrame, limits: DataFrame, count: int, name: str, out: str, plan_limits: int) -> DataFrame:
+    """``rows`` with ``out``, the number of limits at or below the column ``name`` (NaN lies above all)."""
+    if not count:
+        return rows.withColumn(out, F.lit(0))
+    if count <= plan_limits:
+        splits = [-float("inf"), *sorted(r["v"] for r in limits.collect()), float("inf")]
+        put = Bucketizer(splits=splits, inputCol=name, outputCol="_bin", handleInvalid="keep").transform(rows)
+        return put.withColumn(out, F.least(F.col("_bin").cast("int"), F.lit(count))).drop("_bin")
+    # limits and rows in one order, limits first among equals: a row's bin is the last limit before it
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != name]
+    both = rows.withColumn("_place", F.lit(None).cast("int")).unionByName(
+        limits.select(F.col("v").alias(name), F.col("place").alias("_place"), *blank))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(name), F.col("_place").asc_nulls_last()]
+    ranged = materialize(both.repartitionByRange(parts, name).withColumn("_part", F.spark_partition_id()), "policy-ranges")
+    here = F.last("_place", ignorenulls=True).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)     # one row per range
+    carried = ranged.groupBy("_part").agg(F.max("_place").alias("_top")).select("_part", F.max("_top").over(earlier).alias("_carried"))
+    return (ranged.withColumn("_here", here).where("_place is null").join(F.broadcast(carried), "_part")
+            .withColumn(out, F.coalesce("_here", "_carried", F.lit(0))).drop("_place", "_part", "_here", "_carried"))
+
+
+def _dominance(cells: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """For each (ab, yb) of ``asked``: sums over the cells at or above both, of all (n, r, m) and of those without PO.
+
+    Amount bins from the top down form a binary tree. A cell counts for the nodes above it, a question for the
+    at most log2(bins) nodes that make up the bins it reaches; inside a node, cells and questions are merged by age. Cells that
+    do not occur and nodes that nobody asks for have no rows."""
+    levels = max(1, (top + 1).bit_length())
+    nodes = (f"filter(transform(sequence(0, {levels}), k -> if((shiftright(at, k) & 1) = {{bit}}, "
+             "struct(k AS k, shiftright(at, k) - {bit} AS node), null)), x -> x is not null)")
+    sums = {f"{kind}{c}": F.sum(F.when(F.lit(kind == "a") | F.col("nopo"), F.col(c))) for kind in "ao" for c in "nrm"}
+    zero = {c: F.lit(0) for c in sums}
+    questions = materialize(asked.select("ab", "yb").distinct().withColumn("at", F.lit(top + 1) - F.col("ab"))
+                            .select("ab", "yb", F.explode(F.expr(nodes.format(bit=1))).alias("x")).select("ab", "yb", "x.k", "x.node"), "policy-questions")
+    inside = (cells.withColumn("at", F.lit(top) - F.col("ab")).select("*", F.explode(F.expr(nodes.format(bit=0))).alias("x"))
+              .select("x.k", "x.node", "yb", "nopo", "n", "r", "m"))
+    inside = (inside.join(questions.select("k", "node").distinct(), ["k", "node"], "left_semi")
+              .groupBy("k", "node", "yb").agg(*[v.alias(c) for c, v in sums.items()]))
+    both = inside.withColumn("ab", F.lit(None).cast("int")).unionByName(
+        questions.withColumns({c: v.cast(inside.schema[c].dataType) for c, v in zero.items()}))
+    older = Window.partitionBy("k", "node").orderBy(F.col("yb").desc(), F.col("ab").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    running = both.select("ab", "yb", *[F.coalesce(F.sum(c).over(older), F.lit(0)).alias(c) for c in sums]).where("ab is not null")
+    return running.groupBy("ab", "yb").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def what_if(scored: DataFrame, scenarios: DataFrame, plan_limits: int = PLAN_LIMITS) -> DataFrame:
     """G1 + G2 for a table of scenarios (scenario_id, min_amount_dual_approval,
     block_new_vendor_days, block_no_po_min_amount); 0 or null switches a rule off.
 
     All rules are limits, so each invoice is binned once by the distinct limits
-    and invoices are aggregated to cells (amount bin, age bin, no PO). Running
-    totals over the cells give, for any pair of limits, the invoices at or above
-    an amount and at or below an age; every scenario looks up seven of them and
-    combines them by inclusion and exclusion. No invoice meets a scenario."""
+    and invoices are aggregated to cells (amount bin, age bin, no PO). Every scenario asks for at
+    most eight sums over the cells at or above an amount and at or below an age
+    and combines them by inclusion and exclusion. No invoice meets a scenario, and the work
+    grows with cells and limits times the logarithm of the limits. ``plan_limits`` only
+    chooses how rows are binned; results are the same at any value."""
     sc = scenarios.select(
         F.col("scenario_id").cast("string").alias("scenario_id"),
         F.coalesce(F.col("min_amount_dual_approval").cast("double"), F.lit(0.0)).alias("a"),
         F.coalesce(F.col("block_new_vendor_days").cast("double"), F.lit(0.0)).alias("d"),
         F.coalesce(F.col("block_no_po_min_amount").cast("double"), F.lit(0.0)).alias("p"))
-    amounts, days = _limits(sc, "a", "p"), _limits(sc, "d")
+    amounts = _limits(sc.select(F.explode(F.array("a", "p")).alias("v")).where("v > 0"))
+    youths = _limits(sc.where("d > 0").select((-F.col("d")).alias("v")))
+    n_amounts, n_youths = amounts.count(), youths.count()
     base = scored.select(_amount(scored).alias("amount"), (-_vendor_age(scored)).alias("youth"),
                          _po_missing(scored).alias("nopo"), is_risky().alias("risky"),
                          money(_amount(scored)).alias("money"))
     # bin k of an amount: at or above the first k limits; likewise for minus the age
-    for values, name, out in ((amounts, "amount", "ab"), ([-x for x in reversed(days)], "youth", "yb")):
-        base = _bins(values, name, out).transform(base) if values else base.withColumn(out, F.lit(0.0))
-    # a NaN amount lies above all limits
-    cells = base.groupBy(F.least(F.col("ab").cast("int"), F.lit(len(amounts))).alias("ab"),
-                         F.col("yb").cast("int").alias("yb"), "nopo").agg(
+    base = _binned(base, amounts, n_amounts, "amount", "ab", plan_limits)
+    base = _binned(base, youths, n_youths, "youth", "yb", plan_limits)
+    cells = base.groupBy("ab", "yb", "nopo").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("risky"), 1)).alias("r"),
         F.coalesce(F.sum(F.when(F.col("risky"), F.col("money"))), F.lit(0)).alias("m"))
     cells = materialize(cells, "policy-cells")
-    measures = ("n", "r", "m")
-    # every amount bin for every age bin that occurs, so that running totals have no holes
-    grid = (spark_range(scored, len(days) + 1, "yb").crossJoin(F.broadcast(spark_range(scored, len(amounts) + 1, "ab")))
-            .withColumn("nopo", F.explode(F.array(F.lit(True), F.lit(False)))))
-    full = grid.join(cells, ["ab", "yb", "nopo"], "left").na.fill(0, ["n", "r"]) \
-        .withColumn("m", F.coalesce("m", F.lit(0).cast(cells.schema["m"].dataType)))
-    up = Window.partitionBy("yb", "nopo").orderBy(F.col("ab").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    young = Window.partitionBy("ab", "nopo").orderBy(F.col("yb").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for w in (up, young):
-        full = full.withColumns({c: F.sum(c).over(w) for c in measures})
-    both = full.groupBy("ab", "yb").agg(*[F.sum(c).alias(c) for c in measures])
-    only = full.where("nopo").drop("nopo")
-    totals = materialize(both.withColumn("nopo", F.lit(False)).unionByName(only.withColumn("nopo", F.lit(True))),
-                         "policy-totals")
-
-    placed = (sc.join(_positions(scored, amounts, "a", "ai"), "a", "left")
-              .join(_positions(scored, amounts, "p", "pi"), "p", "left")
-              .join(_positions(scored, [-x for x in reversed(days)], "nd", "di"), F.col("nd") == -F.col("d"), "left")
+
+    at = lambda limits, key, place: limits.select(F.col("v").alias(key), F.col("place").alias(place))
+    placed = (sc.join(at(amounts, "a", "ai"), "a", "left").join(at(amounts, "p", "pi"), "p", "left")
+              .join(at(youths, "nd", "di"), F.col("nd") == -F.col("d"), "left")
               .select("scenario_id", F.monotonically_increasing_id().alias("sk"),
                       *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ai", "pi", "di")]))
     placed = materialize(placed, "policy-scenarios")
@@ -146,7 +178,9 @@ def what_if(scored: DataFrame, scenarios: DataFrame) -> DataFrame:
         F.when(cond, F.struct(F.lit(name).alias("rules"), ab.cast("int").alias("ab"), yb.cast("int").alias("yb"),
                               F.lit(nopo).alias("nopo"), F.lit(sign).alias("sign")))
         for name, cond, ab, yb, nopo, sign in sets]), lambda s: s.isNotNull())).alias("s")).select("sk", "s.*")
-    met = asked.join(totals, ["ab", "yb", "nopo"])
+    asked = materialize(asked, "policy-asked")
+    met = asked.join(_dominance(cells, asked, n_amounts), ["ab", "yb"]).select(
+        "sk", "rules", "sign", *[F.when(F.col("nopo"), F.col(f"o{c}")).otherwise(F.col(f"a{c}")).alias(c) for c in "nrm"])
     of = lambda name, c: F.coalesce(F.sum(F.when(F.col("rules") == name, F.col(c))), F.lit(0))
     signed = lambda c: F.coalesce(F.sum(F.col(c) * F.col("sign")), F.lit(0))
     agg = met.groupBy("sk").agg(
@@ -165,16 +199,6 @@ def what_if(scored: DataFrame, scenarios: DataFrame) -> DataFrame:
                ).otherwise(F.lit(0.0)).alias("blocked_percentage"))
 
 
-def _positions(df: DataFrame, values: list[float], name: str, position: str) -> DataFrame:
-    """Limits with their 1-based position."""
-    rows = [(v, i + 1) for i, v in enumerate(values)]
-    return df.sparkSession.createDataFrame(rows, f"{name} double, {position} int")
-
-
-def spark_range(df: DataFrame, n: int, name: str) -> DataFrame:
-    return df.sparkSession.range(n).select(F.col("id").cast("int").alias(name))
-
-
 def scenario_grid(spark, amounts, days, no_po_amounts) -> DataFrame:
     """Cartesian grid of policy parameters as a scenario table."""
     rows = [(f"s{i:05d}", float(a), int(d), float(p))

@@ -27,8 +27,10 @@ EXACT_KEYS = ["Vendor", "InvoiceNumber"]
 SOFT_KEYS = ["Vendor", "InvoiceDate", "Amount"]
 
 
-def key_counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+def repeated_keys(inv: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keys that more than one row holds, with a true column ``name``: few rows, as most keys are held once."""
+    return (inv.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+            .select(*keys, F.lit(True).alias(name)))
 
 
 def vendor_medians(df: DataFrame) -> DataFrame:
@@ -37,16 +39,18 @@ def vendor_medians(df: DataFrame) -> DataFrame:
                         "VendorMedianAmount")
 
 
+def _marked(rows: DataFrame, repeated: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return join_null_safe(rows, repeated, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def exact_duplicate(inv: DataFrame) -> DataFrame:
     """B1: same vendor and invoice number on more than one row."""
-    return (join_null_safe(inv, key_counts(inv, EXACT_KEYS, "_ex_n"), EXACT_KEYS)
-            .withColumn("Rule_ExactDuplicate", F.col("_ex_n") > 1).drop("_ex_n"))
+    return _marked(inv, repeated_keys(inv, EXACT_KEYS, "Rule_ExactDuplicate"), EXACT_KEYS, "Rule_ExactDuplicate")
 
 
 def soft_duplicate(inv: DataFrame) -> DataFrame:
     """B2: same vendor, date and amount on more than one row."""
-    return (join_null_safe(inv, key_counts(inv, SOFT_KEYS, "_soft_n"), SOFT_KEYS)
-            .withColumn("Rule_SoftDuplicate", F.col("_soft_n") > 1).drop("_soft_n"))
+    return _marked(inv, repeated_keys(inv, SOFT_KEYS, "Rule_SoftDuplicate"), SOFT_KEYS, "Rule_SoftDuplicate")
 
 
 def missing_po(inv: DataFrame) -> DataFrame:
@@ -59,16 +63,28 @@ def non_positive(inv: DataFrame) -> DataFrame:
     return inv.withColumn("Rule_NegativeOrZeroAmount", F.coalesce(F.col("Amount") <= 0, F.lit(False)))
 
 
-def high_for_vendor(inv: DataFrame) -> DataFrame:
-    """B5 + B6: the vendor's median and amounts far above it."""
+def _above_median(rows: DataFrame, medians: DataFrame) -> DataFrame:
     above = F.col("Amount") > F.lit(HIGH_AMOUNT_FACTOR) * F.col("VendorMedianAmount")
-    return (inv.join(vendor_medians(inv), "Vendor", "left")
+    return (rows.join(medians, "Vendor", "left")
             .withColumn("Rule_HighAmountForVendor", F.coalesce(above, F.lit(False))))
 
 
+def high_for_vendor(inv: DataFrame) -> DataFrame:
+    """B5 + B6: the vendor's median and amounts far above it."""
+    return _above_median(inv, vendor_medians(inv))
+
+
 def add_rule_columns(inv: DataFrame) -> DataFrame:
-    """B1–B6 as columns on every invoice row."""
-    return high_for_vendor(non_positive(missing_po(soft_duplicate(exact_duplicate(inv)))))
+    """B1–B6 as columns on every invoice row.
+
+    Counts and medians are taken from ``inv`` itself, not from a table that other rules were
+    joined to; three small tables are then joined once each."""
+    exact = repeated_keys(inv, EXACT_KEYS, "Rule_ExactDuplicate")
+    soft = repeated_keys(inv, SOFT_KEYS, "Rule_SoftDuplicate")
+    medians = vendor_medians(inv)
+    rows = _marked(inv, exact, EXACT_KEYS, "Rule_ExactDuplicate")
+    rows = _marked(rows, soft, SOFT_KEYS, "Rule_SoftDuplicate")
+    return _above_median(non_positive(missing_po(rows)), medians)
 
 
 def flags_array() -> F.Column:

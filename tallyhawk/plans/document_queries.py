@@ -173,9 +173,10 @@ def q_doc_direct_answer(spark, sf):
 
 
 def _question_log(spark, sf):
-    conv = table(spark, sf, "conversations")
-    return conv.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.xxhash64("conv_id", "turn", "text").alias("query_id"), F.col("text").alias("query"))
+    """User turns, numbered: a number cannot stand for two questions."""
+    from tallyhawk.operators.ordinal import with_ordinal
+    conv = table(spark, sf, "conversations").where(F.col("role") == "user")
+    return with_ordinal(conv.select("conv_id", "turn", F.col("text").alias("query")), ["conv_id", "turn", "query"], "query_id")
 
 
 @register("doc_answer")
@@ -255,6 +256,31 @@ def q_doc_textrank(spark, sf):
     return T.textrank(T.sentences(_docs(spark, sf)))
 
 
+@register("doc_textrank_joined")
+def q_doc_textrank_joined(spark, sf):
+    """I17 by rounds of joins over all documents."""
+    return T.textrank_joined(T.sentences(_docs(spark, sf))).withColumn("score", F.round("score", 6))
+
+
+@register("doc_ranked_sections")
+def q_doc_ranked_sections(spark, sf):
+    """I22 with the scores of I17."""
+    return T.ranked_sections(T.sentences(_docs(spark, sf)))
+
+
+@register("similar_sentences", f"""WITH {TERMS_CTE},
+bag AS (SELECT doc_id, sent_id, string_agg(term || ' ' || weight, '|' ORDER BY term) AS b FROM w GROUP BY doc_id, sent_id),
+one AS (SELECT doc_id, min(sent_id) AS sent_id FROM bag GROUP BY doc_id, b),
+f AS (SELECT u.doc_id, u.sent_id, u.term, u.u AS x FROM u JOIN one USING (doc_id, sent_id))
+SELECT a.doc_id, a.sent_id AS i, b.sent_id AS j, round(sum(a.x * b.x), 5) AS cosine
+FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.term = b.term AND a.sent_id < b.sent_id
+GROUP BY a.doc_id, a.sent_id, b.sent_id HAVING sum(a.x * b.x) >= 0.617""")
+def q_similar_sentences(spark, sf):
+    """I16: sentence pairs of a document with a cosine of at least 0.617."""
+    pairs, _ = T.similar_sentences(T.tfidf(T.sentences(_docs(spark, sf))), 0.617)
+    return pairs.withColumn("cosine", F.round("cosine", 5))
+
+
 @register("doc_keywords", f"""WITH {TERMS_CTE},
 idf AS (SELECT DISTINCT doc_id, term, idf FROM w),
 tok AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents),
@@ -411,6 +437,39 @@ def q_cosine_topk(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@register("cosine_neighbours", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS rank FROM sims WHERE match_id <> query_id)
+SELECT query_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def q_cosine_neighbours(spark, sf):
+    """Queries are all rows whose id is divisible by 100, against all rows; the row itself is left out.
+
+    Copies of one vector tie, and their order hangs on the last bit of a score: ranks and scores are compared."""
+    from pyspark.sql import Window
+    e = _emb(spark, sf)
+    hits = V.cosine_topk(_row_queries(e), e, k=6).where("match_id <> query_id")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    hits = hits.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return hits.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _row_queries(e):
+    return e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@register("cells_topk")
+def q_cells_topk(spark, sf):
+    """K8 through an inverted-file index of all rows; queries are all rows whose id is divisible by 100."""
+    import uuid
+
+    from tallyhawk.operators.cells import build_cells, search_cells
+    from tallyhawk.session import scratch_path
+    e = _emb(spark, sf)
+    path = scratch_path(spark, f"cells-{uuid.uuid4().hex}")
+    build_cells(e, path)
+    return search_cells(spark, path, _row_queries(e), k=5)
+
+
 @register("vendor_similar", f"""WITH {CENTROIDS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS rank
       FROM sims WHERE label = query_id)
@@ -447,6 +506,17 @@ def q_embed_text(spark, sf):
                     F.round(F.sqrt(square), 4).alias("norm"), digest.alias("digest"))
 
 
+@register("embed_latent")
+def q_embed_latent(spark, sf):
+    """K2 with term vectors trained on all documents: each document's nearest direction and its part in it."""
+    from tallyhawk.operators.latent import fit_latent
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit_latent(docs, "doc_id", dim=32)
+    e = V.embed_text(docs, model=model, key="doc_id")
+    return e.select("doc_id", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
 @register("cosine_lsh")
 def q_cosine_lsh(spark, sf):
     e = _emb(spark, sf)

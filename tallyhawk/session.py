@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -37,6 +38,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, values: dict[str, str]):
+    """Settings for the actions inside the block; the old ones come back after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def is_local(spark: SparkSession) -> bool:
     """True for ``local[...]`` masters, where driver and tasks share one disk."""
     return spark.sparkContext.master.split("[")[0] == "local"

@@ -59,7 +59,7 @@ def test_textrank_equals_dense(spark):
         (2, "Audit checks payments. Payments need approval. Audit reports go to managers."),
     ], "doc_id long, text string")
     sents = T.sentences(docs)
-    got = T.textrank(sents, checkpoint_every=2).toPandas()
+    got = T.textrank(sents).toPandas()
     w = T.tfidf(sents).toPandas()
     for d in (1, 2):
         n = sents.where(F.col("doc_id") == d).count()

@@ -166,7 +166,9 @@ def test_document_functions(spark, tmp_path):
     from tallyhawk.operators.search import answer_questions, search_chunks
     (tmp_path / "a.txt").write_text("The approval limit is fixed. Vendors need approval.")
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe\x00bad")
-    got = {x.file_name: x for x in D.read_text_documents(spark, str(tmp_path)).collect()}
+    read = {x.file_name: x for x in D.read_text_documents(spark, str(tmp_path)).collect()}
+    assert read["b.txt"].text == b"\xff\xfe\x00bad".decode(errors="replace") and read["b.txt"].error is None
+    got = {x.file_name: x for x in D.read_text_documents(spark, str(tmp_path), refuse_invalid=True).collect()}
     assert got["a.txt"].text.startswith("The approval") and got["a.txt"].error is None
     assert got["b.txt"].text is None and "UTF-8" in got["b.txt"].error
     with pytest.raises(ValueError, match="supported"):
