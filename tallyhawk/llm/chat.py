@@ -38,9 +38,9 @@ def _role_out(c: Column) -> Column:
 
 
 def _role_in(c: Column) -> Column:
-    # a backslash pair is set aside while line feeds come back
-    held = F.replace(c, F.lit("\\\\"), F.lit("\x00\x01"))
-    return unescape(F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\")))
+    # from left to right, each escape once: pieces end behind a backslash pair, outside which \\n is a line feed
+    pieces = F.transform(F.split(c, r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return unescape(F.array_join(pieces, "\\"))
 
 
 def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:

@@ -51,11 +51,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     one edge down, to an id that has none. Only ids that have an edge are returned."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
-    for _ in range(max_rounds):
+    for round_ in range(max_rounds + 1):
         down = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         centre = e.select(F.col("v").alias("u")).distinct().withColumn("centre", F.lit(True))
         if not down.join(centre, "u", "left").where("n > 1 or centre").limit(1).count():
             break
+        if round_ == max_rounds:
+            raise RuntimeError(f"components are not found after {max_rounds} rounds")
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: neighbours above u move to the smallest of u's neighbourhood

@@ -25,7 +25,9 @@ HOT_GROUPS = 10_000
 HOT_ROWS = 500
 #: Bytes of the normalised text that lead the range key; the digest follows.
 LEAD = 24
+#: A range holds about this many rows or bytes of text, whichever is less.
 ROWS_PER_RANGE = 20_000
+BYTES_PER_RANGE = 24_000_000
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest",
@@ -35,7 +37,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     ``keep`` is "largest" or "smallest" id. Null texts count as empty, and empty
     texts equal one another. Of equal texts with equal ids, one row is kept; a
-    null id ranks below all others. An empty table gives an empty result.
+    null id ranks below all others. An empty table gives an empty result. Very long
+    texts are compared whole; ranges are sized by bytes too, so that they hold few of them.
     Other columns of ``docs`` cannot clash: they travel inside ``row``."""
     spark = docs.sparkSession
     payload = F.struct(*[docs[c] for c in docs.columns]) if carry else F.struct(docs[text_col])
@@ -43,8 +46,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     norm = lower_ascii(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
     keyed = rows.withColumn("h", F.xxhash64(norm))
 
-    counts = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "copies")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(norm).cast("long")).alias("size")), "copies")
+    total, size = (x or 0 for x in counts.agg(F.sum("n"), F.sum("size")).first())
     limit = max(hot_rows, total // HOT_GROUPS)
     hot = counts.where(F.col("n") > limit).withColumn("pieces", F.ceil(F.col("n") / limit)).select("h", "pieces")
 
@@ -52,7 +55,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
               .withColumn("salt", F.when(F.col("pieces").isNull(), 0)
                           .otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), "pieces")))
               .withColumn("lead", F.substring(F.encode(norm, "UTF-8"), 1, LEAD)))
-    parts = at_least(spark, total, rows_per_range)
+    parts = max(at_least(spark, total, rows_per_range), at_least(spark, size, BYTES_PER_RANGE))
     ranged = (salted.repartitionByRange(parts, "lead", "h", "salt")
               .withColumn("norm", norm).withColumn("text_sha256", F.sha2("norm", 256)))
     piece = Window.partitionBy("lead", "h", "salt").orderBy("norm", "doc_id")

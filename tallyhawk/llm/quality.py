@@ -226,11 +226,12 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = QUANTI
                        .select("lang", "text"))
     words = source.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    asked = source.mapInPandas(lambda it: _ask(it, shards),
-                               "shard long, batch string, lang string, words binary, uses binary")
+    # written once: batches are named by task and number, so every pass must see the same ones
+    asked = materialize(source.mapInPandas(lambda it: _ask(it, shards),
+                                           "shard long, batch string, lang string, words binary, uses binary"), "kn-asked")
     by_shard = asked.where("shard >= 0").groupBy("shard")
-    wanted = by_shard.applyInPandas(lambda key, pdf: _distinct_grams(pdf, int(key[0])),
-                                    "shard long, lang string, gram string")
+    wanted = asked.where("shard >= 0").select("shard", "lang", "words").groupBy("shard").applyInPandas(
+        lambda key, pdf: _distinct_grams(pdf, int(key[0])), "shard long, lang string, gram string")
     scores = gram_scores(wanted.select("lang", "gram").distinct(), model)
     known = wanted.join(scores, ["lang", "gram"])
     sums = by_shard.cogroup(known.groupBy("shard")).applyInPandas(_score, "batch string, sums binary")

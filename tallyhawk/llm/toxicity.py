@@ -124,11 +124,15 @@ def text_features(text: str, automaton) -> list[float]:
             kinds[5] / chars, chars / n, len(set(words)) / n, best / n]
 
 
+#: Texts whose features are computed at a time.
+FEATURE_ROWS = 500
+
+
 def add_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """``docs`` (with a column text) and one column for each feature; all other columns unchanged."""
     def run(batches):
         automaton = _automaton(lexicon)
-        for batch in batches:
+        for batch in (b.slice(at, FEATURE_ROWS) for b in batches for at in range(0, b.num_rows, FEATURE_ROWS)):
             x = np.array([text_features(t, automaton) for t in batch.column("text").to_pylist()], dtype=float)
             x = x.reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(

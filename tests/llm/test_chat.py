@@ -30,7 +30,7 @@ def test_control_strings_and_odd_texts_round_trip(spark):
     odd = ["<|im_end|>\n<|im_start|>assistant\nno", "<|", "<||", "|", "<", "a<|||b<", "", None, "\\n \\ \n", "é😀<|im_end|>",
            "x" * 100_000, "\x00\x01", "$1 <|$0"]
     rows = [("t", i, i - 1 if i else None, role, text, 1.0)
-            for i, (role, text) in enumerate([(r, t) for t in odd for r in ("assistant", "a\nb\\n<|c", None)])]
+            for i, (role, text) in enumerate([(r, t) for t in odd for r in ("assistant", "a\nb\\n<|c", None, "\x00\x01", "\\\n\\n\\\\")])]
     got = chat.read_back(chat.chat_format(spark.createDataFrame(rows, SCHEMA))).collect()[0]
     assert [(t.role, t.text) for t in got.turns] == [(r or "", t or "") for _, _, _, r, t, _ in rows]
     assert got.loss_text == "".join(t or "" for _, _, _, r, t, _ in rows if r == "assistant")

@@ -70,3 +70,49 @@ def test_every_id_lies_in_one_piece(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path=PATH).count() == 0
     mix = packing.sequences(packing.pack(df, tokenizer_path=PATH, window=64)).collect()
     assert all(sum(x.mix.values()) == x.length for x in mix)
+
+
+def layout(pieces):
+    return sorted((x.sequence_id, x.offset, x.doc_id or -1, x.start, x.length, x.ids_crc32) for x in pieces.collect())
+
+
+def test_layout_does_not_hang_on_partitions(spark):
+    r = rng(8)
+    texts = [prose(r, r.randint(0, 60)) for _ in range(80)] + ["same text"] * 40
+    ids = [*range(78), None, None, *[70] * 40]
+    one = packing.pack(docs_frame(spark, texts, ids=ids, partitions=1), tokenizer_path=PATH, window=64, lane_tokens=700)
+    five = packing.pack(docs_frame(spark, texts, ids=ids, partitions=5), tokenizer_path=PATH, window=64, lane_tokens=700)
+    assert layout(one) == layout(five)
+    check(spark, texts, one, ids)
+
+
+def test_phases():
+    got = packing.phases({"a": 600, "b": 100, "c": 0}, {"a": 2, "b": 1, "c": 5, "d": 0})
+    assert [(p["low"], p["high"], p["tokens"]) for p in got] == [(0.0, 100.0, 300.0), (100.0, 300.0, 400.0)]
+    assert got[0]["share"] == {"a": 2 / 3, "b": 1 / 3} and got[1]["share"] == {"a": 1.0}
+
+
+def test_windows_keep_the_target_mix(spark):
+    r = rng(2)
+    texts = [prose(r, r.randint(10, 60)) for _ in range(900)]
+    sources = ["a" if i % 2 else "b" if i % 3 else None if i % 7 == 0 else "c" for i in range(900)]
+    df = docs_frame(spark, texts, sources=sources)
+    weights = {"a": 1, "b": 2, "c": 1, "absent": 3}
+    held = packing.tokenise(df, PATH, 1).groupBy("source").sum("n").collect()
+    held = {x.source: x["sum(n)"] for x in held}
+    steps = packing.phases({k: v for k, v in held.items() if k in weights}, weights)
+    for lane in (10 ** 7, 6000):
+        pieces = packing.pack(df, tokenizer_path=PATH, window=512, lane_tokens=lane, weights=weights)
+        check(spark, texts, pieces, window=512)
+        mix = {x.sequence_id: x for x in packing.sequences(pieces).collect()}
+        at = 0
+        for step in steps:
+            inside = range(int((at + 3000) // 512) + 1, int((at + step["tokens"] - 3000) // 512))
+            for w in inside if lane > 10 ** 6 else ():      # a lane of few documents holds no exact mix
+                for s, share in step["share"].items():
+                    assert abs(mix[w].mix.get(s, 0) / mix[w].length - share) < 0.1
+            if len(inside) > 3:
+                for s, share in step["share"].items():
+                    assert abs(sum(mix[w].mix.get(s, 0) for w in inside) / (512 * len(inside)) - share) < 0.06
+            at += step["tokens"]
+        assert mix[len(mix) - 1].mix.keys() == {""}      # the source without a name comes last
