@@ -27,12 +27,16 @@ ORACLE_SQL = None
 
 _LEFT: dict[str, list[str]] = {}
 
+#: Texts that go to a Python worker at a time: workers and their buffers stay small beside the JVM.
+TEXTS_AT_A_TIME = "1000"
+
 
 def _stage(f):
     """Delete the previous stage's own tables first, and note those of this one."""
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_A_TIME)
         app = spark.sparkContext.applicationId
         release_scratch(spark, _LEFT.pop(app, []))
         before = scratch_tables(spark)
