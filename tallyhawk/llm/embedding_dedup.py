@@ -39,6 +39,7 @@ _SLACK = 1e-6
 
 def _unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)     # squares of very large or small components stay in range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -49,7 +50,7 @@ def _usable(batches):
             if v is None or not len(v):
                 return False
             x = np.asarray(v, dtype=np.float64)
-            return bool(np.isfinite(x).all() and np.isfinite(x @ x) and (x @ x) > 0)
+            return bool(np.isfinite(x).all() and x.any())
         yield pdf[[ok(v) for v in pdf["v"]]].assign(dim=lambda p: [len(v) for v in p["v"]])
 
 
@@ -155,13 +156,13 @@ def embedding_groups(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     equal and their cosine, in double precision, is ``threshold`` or more.
     Vectors that are null, empty, zero or hold null or non-finite components,
     and vectors without label, link with nothing. Labels are integers. Ids must
-    not be null or repeat with different vectors; equal rows count as one
-    vector. An empty table gives an empty result. Other columns are not looked at.
+    not be null; rows that repeat an id count as one vector, the least of theirs
+    by label and components. An empty table gives an empty result. Other columns are not looked at.
     ``window`` is the size of a tile and has no part in the result."""
     every = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("long").alias("label"),
                            vectors[vector_col].alias("v"))
     complete = (every.where("label is not null and id is not null and v is not null and not exists(v, x -> x is null)")
-                .dropDuplicates(["id"]))
+                .groupBy("id").agg(F.min(F.struct("label", "v")).alias("row")).select("id", "row.*"))
     usable = materialize(complete.mapInPandas(
         _usable, f"id long, label long, v {vectors.schema[vector_col].dataType.simpleString()}, dim int"), "emb-usable")
     blocks = F.when(F.col("n") <= SMALL, 1).otherwise(F.greatest(F.lit(3), F.ceil(F.col("n") / BLOCK))).cast("int")

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense text features, isotonic calibration.
 
-A lexicon of words and word beginnings is learnt from labelled rows by smoothed
-log-odds of document counts. Features of a whole text: lexicon densities, how
+A lexicon of words is learnt from labelled rows by smoothed log-odds of document
+counts; a text's word is a hit if it begins with one of them. Features of a whole text: lexicon densities, how
 near lexicon hits stand to second-person words, capitals, punctuation and
 obfuscation rates. Trees are fitted on one part of the labelled rows and
 calibrated on another. Texts are scored where they lie; nothing but the
@@ -31,7 +31,6 @@ ROWS_PER_CLASS = 4000
 LEXICON_SIZE = 256
 MIN_DOCS = 6
 MIN_LOG_ODDS = 2.5
-STEMS = (4, 5, 6, 7, 8)
 NEAR_WORDS = 5
 HELD_OUT, CALIBRATION, FOLDS = 2, 3, 4
 THRESHOLD = 0.3
@@ -57,16 +56,14 @@ def fold(id_col: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Distinct lower-case words, punctuation at their ends removed, and their beginnings."""
+    """Distinct lower-case words, punctuation at their ends removed."""
     words = F.filter(F.transform(F.split(F.lower(text), r"\s+"),
                                  lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")), lambda w: w != "")
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.char_length(w) >= n), lambda w, n=n: F.substring(w, 1, n))
-             for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+    return F.array_distinct(words)
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Word beginnings that mark label 1 (columns text, label): at most ``size``, with log-odds."""
+    """Words that mark label 1 (columns text, label): at most ``size``, with log-odds."""
     ones, total = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     ones, total = ones or 0, total or 0
     counts = (rows.select("label", F.explode(_tokens(F.col("text"))).alias("token")).groupBy("token")
