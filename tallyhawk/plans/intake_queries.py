@@ -84,6 +84,15 @@ def q_intake_ids(spark, sf):
     return ids.select("InvoiceID", F.col("_src_row").alias("src_row"), "Vendor", "Amount")
 
 
+@register("intake_report", RAW_SQL + """
+SELECT count(*) AS rows, (SELECT count(*) FROM clean) AS kept, count(*) FILTER (WHERE Vendor IS NULL) AS no_vendor,
+       count(*) FILTER (WHERE InvoiceNumber IS NULL) AS no_number, count(*) FILTER (WHERE Amount IS NULL) AS no_amount,
+       count(*) FILTER (WHERE InvoiceDate IS NULL) AS no_date, CAST(0 AS BIGINT) AS amount_out_of_range
+FROM coerced""")
+def q_intake_report(spark, sf):
+    return intake.intake_report(raw_invoice_text(spark, sf))
+
+
 ROW_SENTENCE_SQL = RAW_SQL + """
 SELECT src_row,
   'Invoice ' || coalesce(InvoiceNumber, 'nan') || ' from ' || coalesce(Vendor, 'nan') || ' dated '
