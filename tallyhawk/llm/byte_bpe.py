@@ -9,7 +9,7 @@ ordered aggregation turns ids back into bytes.
 
 Words come from the rank file's own pattern. The pattern never crosses a
 boundary between a run of other characters and the white space after it, so
-texts are first cut there, and the pattern runs on distinct cuts only. Words
+texts are first cut there, and the pattern runs on distinct cuts that are more than letters. Words
 met before are kept by the worker, up to ``CACHE_WORDS``.
 
 Words of over ``LONG`` bytes are cut where two bytes stand side by side that no
@@ -35,9 +35,9 @@ BATCH_CHARS = 4_000_000
 #: Tokens that are decoded together.
 BATCH_TOKENS = 500_000
 #: Rows that one recursive query may gather.
-QUERY_ROWS = 3_000_000
+QUERY_ROWS = 5_000_000
 LONG = 64
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_300_000
 MEMORY = "512MB"
 
 _CUTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -133,9 +133,11 @@ class RankFile:
             key, ids, step = (got.column(i).to_numpy() for i in range(3))
             word = key >> 32
             done = step < steps
-            cuts = np.flatnonzero(np.diff(word[done], prepend=-1))
-            for w, part in zip(word[done][cuts], np.split(ids[done].astype("<u4"), cuts[1:])):
-                out[w] = part.tobytes()
+            ended = word[done]
+            cuts = np.flatnonzero(np.diff(ended, prepend=-1))
+            raw = ids[done].astype("<u4").tobytes()
+            for w, a, b in zip(ended[cuts].tolist(), (4 * cuts).tolist(), (4 * np.append(cuts[1:], len(ended))).tolist()):
+                out[w] = raw[a:b]
             key, ids = key[~done], ids[~done]
         return out
 
@@ -182,7 +184,7 @@ class RankFile:
                 if rank is None:
                     new.append(w)
                     continue
-                ids = rank.to_bytes(4, "little")
+                ids = self.young[w] = rank.to_bytes(4, "little")
             found[w] = ids
         for w, ids in zip(new, self._encode([w.encode() for w in new])):
             found[w] = self.young[w] = ids
@@ -193,10 +195,12 @@ class RankFile:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cuts = [_CUTS.findall(t) for t in texts]
-        words = {c: self.pattern.findall(c) for c in set().union(*cuts)} if cuts else {}
-        ids = self._ids_of({w for ws in words.values() for w in ws})
-        whole = {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in words.items()}
-        return [b"".join([whole[c] for c in cs]) for cs in cuts]
+        every = set().union(*cuts)
+        # letters behind at most one space are one word of the pattern
+        words = {c: self.pattern.findall(c) for c in every if not (c[1:] if c[0] == " " else c).isalpha()}
+        ids = self._ids_of(every.difference(words).union(*words.values()))
+        ids.update({c: b"".join([ids[w] for w in ws]) for c, ws in words.items()})
+        return [b"".join([ids[c] for c in cs]) for cs in cuts]
 
     # --- ids -> bytes
 
