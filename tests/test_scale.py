@@ -56,3 +56,26 @@ def test_ranks_without_an_id(spark):
     one = {(r.doc_id, r.sent_id): r.score for r in T.textrank(sents).where("doc_id is not null").collect()}
     joined = {(r.doc_id, r.sent_id): r.score for r in T.textrank_joined(sents).collect()}
     assert one.keys() == joined.keys() and all(abs(one[k] - joined[k]) < 1e-9 for k in one)
+
+
+def test_tiles_of_many_queries_and_ties(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from tallyhawk.operators import vectors as V
+    monkeypatch.setattr(V, "LEAST_TILE", 16)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(200, 24)) * rng.integers(1, 9, size=(200, 1))
+    c[50:60], c[70] = c[3], 0.0
+    q = np.vstack([rng.normal(size=(20, 24)), c[3], np.zeros(24)])
+    for normalise in (True, False):
+        got = V._tile_topk(pd.DataFrame({"qid": np.arange(len(q)), "qv": list(q)}), pd.DataFrame({"cid": np.arange(200), "cv": list(c)}), 5, normalise)
+        scores = (q[:, None, :] * c[None]).sum(axis=2)
+        if normalise:
+            den = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
+            scores = scores / np.where(den == 0, 1e-10, den)
+        for i in range(len(q)):
+            want = sorted(range(200), key=lambda j: (-round(scores[i, j], 9), j))[:5]
+            assert got[got.query_id == i].sort_values(["score", "match_id"], ascending=[False, True]).match_id.tolist() == want
+    assert V.QUERY_TILE >= 32768   # the corpus is shuffled once for as many queries
