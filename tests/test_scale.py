@@ -79,3 +79,8 @@ def test_tiles_of_many_queries_and_ties(monkeypatch):
             want = sorted(range(200), key=lambda j: (-round(scores[i, j], 9), j))[:5]
             assert got[got.query_id == i].sort_values(["score", "match_id"], ascending=[False, True]).match_id.tolist() == want
     assert V.QUERY_TILE >= 32768   # the corpus is shuffled once for as many queries
+
+
+def test_phrases_stay_with_their_document(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(4, "doc_id")
+    assert exchanges(T.key_phrases(docs)) <= 1
