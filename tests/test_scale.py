@@ -84,3 +84,18 @@ def test_tiles_of_many_queries_and_ties(monkeypatch):
 def test_phrases_stay_with_their_document(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(4, "doc_id")
     assert exchanges(T.key_phrases(docs)) <= 1
+
+
+def test_ranks_by_rounds_of_repeated_sentences(spark):
+    sents = _sents(spark, [(7, "Red fox runs. Blue fox sleeps. A green sky."), (7, "Red fox runs. Blue fox sleeps. A green sky.")])
+    got = {r.sent_id: r.score for r in T.textrank_joined(sents, rounds=1, tol=0.0).distinct().collect()}
+    # a round adds a sentence's own rank once too often; the third sentence shares no term with others
+    w = {(r.sent_id, r.term): r.weight for r in T.tfidf(sents).collect()}
+    norm = {i: sum(x * x for (j, _), x in w.items() if j == i) ** 0.5 for i in range(3)}
+    u = {k: x / norm[k[0]] for k, x in w.items()}
+    mass = {i: sum(x * sum(y for (j, s), y in u.items() if s == t and j != i) for (k, t), x in u.items() if k == i) for i in range(3)}
+    v = {i: (1 / 6 / mass[i] if mass[i] > 0 else 0.0) for i in range(3)}
+    held = {t: sum(2 * x * v[i] for (i, s), x in u.items() if s == t) for _, t in u}
+    for i in range(3):
+        flow = sum(x * held[t] for (k, t), x in u.items() if k == i) - v[i] if mass[i] > 0 else 0.0
+        assert abs(got[i] - (0.15 / 6 + 0.85 * flow)) < 1e-9
