@@ -55,3 +55,11 @@ def test_a_repeated_supplier_key_gives_an_invoice_for_each_of_its_rows(spark, sf
     got = fixtures.build_invoice_view(spark, str(tmp_path)).select(F.col("InvoiceID").cast("int"), "Vendor").collect()
     assert sorted(r[0] for r in got) == list(range(80))
     assert sum(r[1].endswith(" B") for r in got) == 40
+
+
+def test_names_are_normalised_once_for_each_vendor_not_for_each_invoice(spark):
+    from tallyhawk.operators.questions import _vendor_names
+    rows = [(str(i), None if i % 5 == 0 else ["Acme Ltd.", " ACME  ltd", "..."][i % 3], None, None, 1.0, None) for i in range(40)]
+    names = _vendor_names(_invoices(spark, rows))
+    assert "regexp_replace" in _plan(names) and "HashAggregate" not in _plan(names)
+    assert sorted(tuple(r) for r in names.collect()) == [(" ACME  ltd", "acme ltd", 10), ("Acme Ltd.", "acme ltd", 9)]
