@@ -2,7 +2,7 @@
 
 1. Sample: each tree takes the ψ = min(256, n) rows with the smallest hash of
    (InvoiceID, seed, tree), independent of partitioning. Rows are pre-filtered
-   per tree at about 4ψ/n, so only ~4ψ rows per tree are exploded; a tree short
+   per tree at about 4ψ/n, so only ~4ψ rows per tree are sorted; a tree short
    of ψ survivors is re-drawn with a wider filter (exact, no cap).
 2. Grow: ``groupBy(tree).applyInPandas`` — one task per tree, ≤ ψ rows each.
 3. Collect the node table (≤ trees × (2ψ − 1) rows, bounded) and broadcast it.
@@ -15,6 +15,7 @@ Method: Liu, Ting, Zhou, "Isolation Forest", ICDM 2008.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,10 +58,9 @@ def _samples(feats: DataFrame, n: int, psi: int, trees: int, seed: int) -> DataF
     """(tree, key, x) with exactly ψ rows per tree: the ψ smallest hashes (written)."""
     p = min(1.0, OVERSAMPLE * psi / n)
     while True:
-        trees_arr = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                             lambda t: _unit_hash(F.col("key"), seed, t) < F.lit(p))
-        ex = (feats.select("key", "x", F.explode(trees_arr).alias("tree"))
-                   .withColumn("h", _unit_hash(F.col("key"), seed, F.col("tree"))))
+        # a row for each tree, dropped as soon as it is hashed: compiled, unlike a filter over an array
+        ex = (feats.select("key", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+                   .withColumn("h", _unit_hash(F.col("key"), seed, F.col("tree"))).where(F.col("h") < p))
         w = Window.partitionBy("tree").orderBy("h", "key")
         picked = materialize(ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r"),
                              "forest-sample")
@@ -129,27 +129,53 @@ def fit_isolation_forest(feats: DataFrame, trees: int = TREES, seed: int = SEED,
     return arr
 
 
+def _complete_trees(f: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, path length) of the trees filled up to their full depth: the children of place i are
+    2i + 1 and 2i + 2, and every place of the last level has the path length of the leaf it lies under."""
+    trees, depth = f["feature"].shape[0], int(f["max_depth"])
+    inner = (1 << depth) - 1
+    feature, threshold = np.zeros((trees, inner), np.int64), np.zeros((trees, inner))
+    at = np.zeros((trees, 1), np.int64)
+    own = np.arange(trees)[:, None]
+    for level in range(depth):
+        leaf = f["leaf"][own, at]
+        here = slice((1 << level) - 1, (2 << level) - 1)
+        feature[:, here] = np.where(leaf, 0, f["feature"][own, at])
+        threshold[:, here] = f["threshold"][own, at]
+        children = np.stack([np.where(leaf, at, f["left"][own, at]), np.where(leaf, at, f["right"][own, at])], axis=2)
+        at = children.reshape(trees, -1)
+    return feature, threshold, f["depth"][own, at] + avg_path(f["size"][own, at])
+
+
+#: Rows that walk the trees at a time: their columns stay in a core's cache.
+SCORE_BLOCK = 4096
+
+
+def _path_sums(X: np.ndarray, feature: np.ndarray, threshold: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sum of the path lengths of every row over all trees, added in the order of the trees."""
+    total = np.zeros(len(X))
+    depth = feature.shape[1].bit_length()
+    for start in range(0, len(X), SCORE_BLOCK):
+        x = X[start:start + SCORE_BLOCK]
+        flat, row = x.ravel(), np.arange(len(x)) * X.shape[1]
+        for t in range(len(feature)):
+            cur = np.zeros(len(x), dtype=np.int64)
+            for _ in range(depth):
+                right = ~(flat.take(row + feature[t].take(cur)) < threshold[t].take(cur))   # NaN goes right
+                cur = 2 * cur + 1 + right
+            total[start:start + len(x)] += length[t].take(cur - feature.shape[1])
+    return total
+
+
 def _score_fn(bforest):
     @pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = bforest.value
-        X = np.stack(x.to_numpy()).astype(np.float64)
-        n, trees = len(X), f["feature"].shape[0]
-        total = np.zeros(n)
-        rows = np.arange(n)
-        for t in range(trees):
-            cur = np.zeros(n, dtype=np.int64)
-            for _ in range(int(f["max_depth"]) + 1):
-                leaf = f["leaf"][t, cur]
-                if leaf.all():
-                    break
-                feat = np.where(leaf, 0, f["feature"][t, cur])
-                go_left = X[rows, feat] < f["threshold"][t, cur]
-                nxt = np.where(go_left, f["left"][t, cur], f["right"][t, cur])
-                cur = np.where(leaf, cur, nxt)
-            total += f["depth"][t, cur] + avg_path(f["size"][t, cur])
-        mean = total / trees
-        return pd.Series(np.power(2.0, -mean / float(avg_path(f["psi"]))))
+        complete = _complete_trees(f)
+        for x in batches:
+            X = np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, 1))
+            mean = _path_sums(X, *complete) / f["feature"].shape[0]
+            yield pd.Series(np.power(2.0, -mean / float(avg_path(f["psi"]))))
     return score
 
 

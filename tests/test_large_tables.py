@@ -2,9 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tallyhawk.operators import rules
+from tallyhawk.operators import anomaly, rules
 
 
 def _invoices(spark, rows):
@@ -63,3 +64,26 @@ def test_names_are_normalised_once_for_each_vendor_not_for_each_invoice(spark):
     names = _vendor_names(_invoices(spark, rows))
     assert "regexp_replace" in _plan(names) and "HashAggregate" not in _plan(names)
     assert sorted(tuple(r) for r in names.collect()) == [(" ACME  ltd", "acme ltd", 10), ("Acme Ltd.", "acme ltd", 9)]
+
+
+def _walk(forest, X):
+    """Path lengths node by node."""
+    total = np.zeros(len(X))
+    for t in range(len(forest["feature"])):
+        for i, x in enumerate(X):
+            n = 0
+            while not forest["leaf"][t, n]:
+                n = forest["left" if x[forest["feature"][t, n]] < forest["threshold"][t, n] else "right"][t, n]
+            total[i] += forest["depth"][t, n] + anomaly.avg_path(forest["size"][t, n])
+    return total
+
+
+def test_filled_trees_give_the_path_lengths_of_a_walk(spark):
+    rng = np.random.default_rng(3)
+    points = [(str(i), [float(v) for v in rng.integers(0, 40, 3)]) for i in range(300)]
+    forest = anomaly.fit_isolation_forest(spark.createDataFrame(points, "key string, x array<double>"), trees=7)
+    X = np.vstack([[p[1] for p in points], [[np.nan, 1, 2], [50, -1, np.inf]], rng.normal(20, 9, (anomaly.SCORE_BLOCK, 3))])
+    filled = anomaly._complete_trees(forest)
+    assert (anomaly._path_sums(X, *filled) == _walk(forest, X)).all()
+    one = anomaly.fit_isolation_forest(spark.createDataFrame(points[:1], "key string, x array<double>"), trees=2)
+    assert (anomaly._path_sums(X, *anomaly._complete_trees(one)) == _walk(one, X)).all()
