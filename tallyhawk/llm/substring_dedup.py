@@ -25,9 +25,13 @@ also starts in a document with a smaller id.
 
 from __future__ import annotations
 
+from functools import cached_property
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -53,11 +57,11 @@ class Block:
         words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         self.counts = np.array([len(w) for w in words], dtype=np.int64)
         self.ends = np.cumsum(self.counts)
-        self.words = [w for doc in words for w in doc]
-        number = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
-        self.number, self.codes = number, np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
-        codes = self.codes
-        hashed = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        self.words = list(chain.from_iterable(words))
+        coded = pa.array(self.words, pa.large_binary()).dictionary_encode()
+        self.vocabulary = coded.dictionary.to_pylist()
+        self.codes = codes = coded.indices.to_numpy().astype(np.int64)
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))
         h, span, parts = hashed[codes] if len(codes) else np.zeros(0, np.uint64), 1, []
         # hashes of runs of 1, 2, 4, ... words make up the hash of ``window`` words
         rest, step = window, _STEP
@@ -82,15 +86,20 @@ class Block:
         self.at = np.flatnonzero(inside)           # word index where a window starts
         self.hash, self.doc = total[self.at], doc[self.at]
 
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        """The code of each word."""
+        return {w: i for i, w in enumerate(self.vocabulary)}
+
     def firsts(self):
         """Distinct hashes in order, the first window of each, and whether two documents hold it."""
-        order = np.argsort(self.hash, kind="stable")
-        h, d = self.hash[order], self.doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        start = np.flatnonzero(new)
-        last = np.append(start[1:], len(h)) - 1
-        return h[start], order[start], self.ids[d[last]] != self.ids[d[start]] if len(h) else np.zeros(0, bool)
+        order = np.argsort(self.hash)
+        h = self.hash[order]
+        if not len(h):
+            return h, order, np.zeros(0, bool)
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        first, last = np.minimum.reduceat(order, start), np.maximum.reduceat(order, start)
+        return h[start], first, self.ids[self.doc[last]] != self.ids[self.doc[first]]
 
 
 def _by_shard(h: np.ndarray, shards: int):
@@ -260,10 +269,9 @@ def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
         start = np.flatnonzero(apart)
         for s, e in zip(start, np.append(start[1:], len(pos)) - 1 if len(pos) else start):
             yield int(b.ids[doc[s]]), b.codes[pos[s]:pos[e] + window]
-        code = b.number.get
         for ids, texts in zip(sent["first_ids"], sent["passages"]):
             for i, t in zip(ids, texts):
-                yield int(i), np.array([code(w, -1) for w in t.encode("utf-8", "surrogatepass").split()], np.int64)
+                yield int(i), np.array([b.number.get(w, -1) for w in t.encode("utf-8", "surrogatepass").split()], np.int64)
 
     def batches():
         held, words = [], 0
@@ -277,7 +285,7 @@ def _locate(pdf: pd.DataFrame, sent: pd.DataFrame, window: int) -> pd.DataFrame:
             yield held
     cover = np.zeros(len(b.words) + 1, np.int64)
     for held in batches():
-        found = _Passages(held, window, len(b.number))
+        found = _Passages(held, window, len(b.vocabulary))
         if found.empty:
             continue
         for k, (end, n) in enumerate(zip(b.ends, b.counts)):
