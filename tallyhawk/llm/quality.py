@@ -125,44 +125,58 @@ def _plane(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _ask(batches, shards: int):
-    """Rows for shards (words and who needs them), and as shard -1 the batch's documents."""
+def _ask(batches, shards: int, part: str):
+    """What a batch of texts sends: ``docs``: its documents, ``words``: its distinct words by shard,
+    ``uses``: those words and who needs them. Each is asked for where it is needed, under the same batch name."""
     task, nth = TaskContext.get().partitionId(), 0
     for pdf in batches:
         for lang, rows in _batches_by_language(pdf):
+            if part == "words":
+                names = list(set().union(*map(str.split, rows["text"])))
+                if names:
+                    yield pd.DataFrame([(s, lang, _zip(" ".join([names[i] for i in at]).encode("utf-8", "surrogatepass")))
+                                        for s, at in _by_home(_homes(names, shards))], columns=["shard", "lang", "words"])
+                continue
             told = xxhash.xxh3_128()
             for t in rows["text"]:
                 told.update(t.encode("utf-8", "surrogatepass"))
                 told.update("\x00")
             batch, nth = f"{task}-{nth}-{told.hexdigest()}", nth + 1
-            number: dict[str, int] = {}
-            docs, words, counts, sizes = [], [], [], []
-            for d, t in enumerate(rows["text"]):
-                own = Counter(t.split())
-                words.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
-                counts.append(np.fromiter(own.values(), np.int64, len(own)))
-                docs.append(np.full(len(own), d))
-                sizes.append(sum((len(w) + 1) * n for w, n in own.items()))
-            yield pd.DataFrame({"shard": [-1], "batch": [batch], "lang": [lang], "words": [None], "uses": [
-                rows["doc_id"].to_numpy(np.int64).tobytes() + rows["no_id"].to_numpy(np.int64).tobytes()
-                + np.array(sizes, np.int64).tobytes()]})
+            if part == "docs":
+                sizes = np.fromiter((sum(map(len, own)) + len(own) for own in map(str.split, rows["text"])), np.int64, len(rows))
+                yield pd.DataFrame({"batch": [batch], "lang": [lang], "uses": [
+                    rows["doc_id"].to_numpy(np.int64).tobytes() + rows["no_id"].to_numpy(np.int64).tobytes()
+                    + sizes.tobytes()]})
+                continue
+            number: dict[str, int] = defaultdict()
+            number.default_factory = number.__len__
+            codes = [np.fromiter(map(number.__getitem__, t.split()), np.int64) for t in rows["text"]]
             if not number:
                 continue
-            docs, words, counts = map(np.concatenate, (docs, words, counts))
             names = list(number)
-            home = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in names), np.int64, len(names))
-            at = home[words]
-            order = np.lexsort((words, docs, at))
-            at, docs, words, counts = at[order], docs[order], words[order], counts[order]
-            cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            pairs, counts = np.unique(np.repeat(np.arange(len(codes)), list(map(len, codes))) * len(names)
+                                      + np.concatenate(codes), return_counts=True)
+            docs, words = np.divmod(pairs, len(names))
             out = []
-            for s, e in zip(cut, np.append(cut[1:], len(at))):
-                used, local = np.unique(words[s:e], return_inverse=True)
-                out.append((int(at[s]), batch, lang, _zip(" ".join(names[i] for i in used).encode("utf-8", "surrogatepass")),
-                            _zip(_plane(np.diff(docs[s:e], prepend=0)) + _plane(local) + _plane(counts[s:e]))))
+            for s, at in _by_home(_homes(names, shards)[words]):
+                used, local = np.unique(words[at], return_inverse=True)
+                out.append((s, batch, lang, _zip(" ".join([names[i] for i in used]).encode("utf-8", "surrogatepass")),
+                            _zip(_plane(np.diff(docs[at], prepend=0)) + _plane(local) + _plane(counts[at]))))
             yield pd.DataFrame(out, columns=["shard", "batch", "lang", "words", "uses"])
 
 
+def _homes(names: list[str], shards: int) -> np.ndarray:
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    return (hashed % np.uint64(shards)).astype(np.int64)
+
+
+def _by_home(home: np.ndarray):
+    """(shard, places of ``home`` that hold it, in order)."""
+    order = np.argsort(home.astype(np.uint16) if home.max() < 65536 else home, kind="stable")
+    cut = np.flatnonzero(np.diff(home[order], prepend=-1))
+    return zip(home[order[cut]].tolist(), np.split(order, cut[1:]))
+
+
 def _words(blob: bytes) -> list[str]:
     return _unzip(blob).decode("utf-8", "surrogatepass").split(" ")
 
@@ -233,14 +247,15 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = QUANTI
     shards = max(1, -(-words // SHARD_WORDS))
     # asked for three times rather than written, which would take 0.6 x the input of disk: a batch is named
     # by its texts too, so that batches dealt otherwise by a repeated task are never added to one another
-    asked = source.mapInPandas(lambda it: _ask(it, shards), "shard long, batch string, lang string, words binary, uses binary")
-    by_shard = asked.where("shard >= 0").groupBy("shard")
-    wanted = asked.where("shard >= 0").select("shard", "lang", "words").groupBy("shard").applyInPandas(
+    asked = source.mapInPandas(lambda it: _ask(it, shards, "docs"), "batch string, lang string, uses binary")
+    by_shard = source.mapInPandas(lambda it: _ask(it, shards, "uses"),
+                                  "shard long, batch string, lang string, words binary, uses binary").groupBy("shard")
+    wanted = source.mapInPandas(lambda it: _ask(it, shards, "words"), "shard long, lang string, words binary").groupBy("shard").applyInPandas(
         lambda key, pdf: _distinct_grams(pdf, int(key[0])), "shard long, lang string, gram string")
     scores = gram_scores(wanted.select("lang", "gram").distinct(), model)
     known = wanted.join(scores, ["lang", "gram"])
     sums = by_shard.cogroup(known.groupBy("shard")).applyInPandas(_score, "batch string, sums binary")
-    totals = materialize(asked.where("shard < 0").groupBy("batch").cogroup(sums.groupBy("batch"))
+    totals = materialize(asked.groupBy("batch").cogroup(sums.groupBy("batch"))
                          .applyInPandas(_add_up, "doc_id long, no_id boolean, lang string, n_chars long, logp double"),
                          "kn-scores")
     scored = totals.withColumn("logp", F.when(~F.isnan("logp"), F.col("logp")))
