@@ -20,11 +20,11 @@ PIECE = 20_000
 TILE = 1024
 
 
-def dealt(sents: DataFrame, toks: Column) -> DataFrame:
-    """(doc_id, sent_id, toks, place): all rows of a document in one partition, in order.
+def dealt(sents: DataFrame, toks: Column, *others: str) -> DataFrame:
+    """(doc_id, sent_id, toks, others, place): all rows of a document in one partition, in order.
 
     Sentences that are dealt by document stay so: the window then only sorts."""
-    rows = sents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_id").cast("int").alias("sent_id"), toks.alias("toks"))
+    rows = sents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_id").cast("int").alias("sent_id"), toks.alias("toks"), *others)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id")))
 
 
@@ -71,6 +71,7 @@ class Terms:
         first[1:] |= sent[1:] != sent[:-1]
         g = np.cumsum(first) - 1
         at = np.flatnonzero(first)
+        self.of = g                     # the sentence of each row
         self.sent, self.doc, self.docs = sent[at], doc[at], int(doc[-1]) + 1
         self.doc_id, self.doc_null = ids[new], null[new]
         toks = table["toks"].combine_chunks()
@@ -98,8 +99,8 @@ class Terms:
         return pa.array(self.doc_id[doc], pa.int64(), mask=self.doc_null[doc])
 
 
-def rank(batches, rounds: int, damping: float, tol: float):
-    """I17 for every document of the batches: (doc_id, sent_id, score)."""
+def rank(batches, rounds: int, damping: float, tol: float, other: str | None = None):
+    """I17 for every document of the batches: (doc_id, sent_id, score), or with a column ``other`` every row with its score."""
     for table in pieces(batches):
         p = Terms(table)
         g, t, u, doc = p.g, p.t, p.u, p.doc
@@ -119,7 +120,11 @@ def rank(batches, rounds: int, damping: float, tol: float):
             still = on[doc[g]]
             if 2 * still.sum() < len(g):       # counts of documents at rest leave the rounds
                 g, t, u = g[still], t[still], u[still]
-        yield pa.RecordBatch.from_arrays([p.ids(doc), pa.array(p.sent, pa.int32()), pa.array(score)], ["doc_id", "sent_id", "score"])
+        if other:
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("doc_id", "sent_id", other)), pa.array(score[p.of])],
+                                             ["doc_id", "sent_id", other, "score"])
+        else:
+            yield pa.RecordBatch.from_arrays([p.ids(doc), pa.array(p.sent, pa.int32()), pa.array(score)], ["doc_id", "sent_id", "score"])
 
 
 def _lists(members: np.ndarray, sizes: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
