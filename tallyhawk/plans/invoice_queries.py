@@ -444,7 +444,7 @@ def q_anomaly_flags(spark, sf):
 @register("fraud_classifier")
 def q_fraud_classifier(spark, sf):
     from tallyhawk.operators.classifier import predict_fraud, train_classifier
-    inv = invoice_view(spark, sf)
+    inv = invoice_view(spark, sf).select("InvoiceID", "Vendor", "InvoiceNumber", "InvoiceDate", "Amount", "PONumber", "IsFraudLabel")
     model = train_classifier(inv)
     return predict_fraud(model, inv).select("InvoiceID", "IsFraudLabel", F.col("prediction").cast("int").alias("prediction"),
                                             "fraud_probability")
