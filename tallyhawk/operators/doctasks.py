@@ -78,6 +78,9 @@ class Terms:
         size = pc.list_value_length(toks).fill_null(0).to_numpy().astype(np.int64)
         words = toks.flatten().dictionary_encode()
         width, term = len(words.dictionary), words.indices.to_numpy().astype(np.int64)
+        place = np.empty(width, np.int64)      # sums of a sentence run over its words in order
+        place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(width)
+        term = place[term]
         if null.any():
             term = term[np.repeat(~null, size)]
             size = np.where(null, 0, size)
